@@ -52,7 +52,8 @@ def following_min(laid: DataFrame, keys: list[str], order: list[str], value: Col
     after = Window.partitionBy(*keys).orderBy(F.col(PID).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.withColumn("_c", F.min("_t").over(after)).where(F.col("_c").isNotNull())
     carry = carry.select(F.col(PID).alias("_r"), "_c", *(F.col(k).alias(f"_k_{k}") for k in keys))
-    local = Window.partitionBy(PID, *keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
+    # Backwards with a growing frame: Spark takes quadratic time over frames that shrink.
+    local = Window.partitionBy(PID, *keys).orderBy(*(F.col(c).desc() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
     got = laid.withColumn(out, F.min(value).over(local))
     got = got.join(F.broadcast(carry), _same(got, carry, keys), "left")
     return got.withColumn(out, F.least(F.col(out), F.col("_c"))).drop("_c", "_r", *(f"_k_{k}" for k in keys))
