@@ -7,13 +7,68 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import mixing, packing
+from lexloom.llm import enrichment, mixing, multiindex, outranking, packing, postings, splitter, term_counts
 from lexloom.llm.tokens import token_count
 from lexloom.runtime import materialize, table
 
 CAPACITY = 2048
 
 
+def _postings(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(postings.current_postings(table(spark, d, "lexical_posting_v1"), table(spark, d, "lexical_posting_v2")), "postings")
+
+
+def p1_frequencies(spark: SparkSession, d: str) -> DataFrame:
+    return term_counts.term_frequencies(_postings(spark, d))
+
+
+def p1_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return term_counts.phrase_frequencies(table(spark, d, "search_chunk").select(F.col("content").alias("text")), 3)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_frequencies(spark, d).where("mark IN ('rare', 'common')").select("term", "mark")
+
+
+def p2_scores(spark: SparkSession, d: str) -> DataFrame:
+    return enrichment.enrich(_postings(spark, d))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    own = _postings(spark, d)
+    records = own.select(*postings.RECORD).distinct().count()
+    scored = enrichment.enrich(own).where("distinctive")
+    return scored.where((F.col("frequency") * 5 >= F.col("length")) & (F.col("records") * 100 <= F.lit(3 * records))).select("corpus", "record_ix", "term")
+
+
+def _candidates(spark: SparkSession, d: str) -> DataFrame:
+    return materialize(outranking.candidates(table(spark, d, "lexical_score_v2"), table(spark, d, "search_query"), table(spark, d, "decoded_vector_v2")), "candidates")
+
+
+def p3_order(spark: SparkSession, d: str) -> DataFrame:
+    return outranking.rank_candidates(_candidates(spark, d))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return outranking.first_of_each(p3_order(spark, d))
+
+
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return splitter.pieces(materialize(splitter.oversized(table(spark, d, "search_document"), table(spark, d, "search_chunk")), "items"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return splitter.item_cuts(p6_pieces(spark, d))
+
+
+def p7_knn(spark: SparkSession, d: str) -> DataFrame:
+    return multiindex.knn(table(spark, d, "decoded_vector_v2"), F.col("vec_id") % 20 == 0)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return multiindex.similar_pairs(table(spark, d, "decoded_vector_v2"))
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     sizes = table(spark, d, "documents").select(F.col("doc_id").alias("item_id"), token_count("text").alias("tokens"))
     return packing.pack(materialize(sizes, "sizes"), CAPACITY)
@@ -51,6 +106,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": p1_found,
+    "p1_frequencies": p1_frequencies,
+    "p1_phrases": p1_phrases,
+    "p2_found": p2_found,
+    "p2_scores": p2_scores,
+    "p3_found": p3_found,
+    "p3_order": p3_order,
+    "p6_found": p6_found,
+    "p6_pieces": p6_pieces,
+    "p7_found": p7_found,
+    "p7_knn": p7_knn,
     "p8_found": p8_found,
     "p8_pack": p8_pack,
     "p8_usage": p8_usage,
