@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import enrichment, mixing, multiindex, outranking, packing, postings, splitter, term_counts
+from lexloom.llm import enrichment, markup, mixing, multiindex, outranking, packing, pagediff, postings, splitter, term_counts
 from lexloom.llm.tokens import token_count
 from lexloom.runtime import materialize, table
 
@@ -53,6 +53,22 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return outranking.first_of_each(p3_order(spark, d))
 
 
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return markup.cleaned(table(spark, d, "search_document"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return p4_clean(spark, d).where(F.size("kinds") > 0).select("id", "field")
+
+
+def p5_body(spark: SparkSession, d: str) -> DataFrame:
+    return pagediff.differenced(table(spark, d, "search_document"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_body(spark, d).select("id", F.explode("boilerplate").alias("line_ix")).select("id", F.col("line_ix").cast("long").alias("line_ix"))
+
+
 def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitter.pieces(materialize(splitter.oversized(table(spark, d, "search_document"), table(spark, d, "search_chunk")), "items"))
 
@@ -113,6 +129,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_scores": p2_scores,
     "p3_found": p3_found,
     "p3_order": p3_order,
+    "p4_found": p4_found,
+    "p4_clean": p4_clean,
+    "p5_found": p5_found,
+    "p5_body": p5_body,
     "p6_found": p6_found,
     "p6_pieces": p6_pieces,
     "p7_found": p7_found,
