@@ -76,7 +76,8 @@ def pack(items: DataFrame, capacity: int = 2048, shard_items: int = 20_000) -> D
                 out.append((item, whole, f"{key[0]}o{packer.place(rest)}", rest))
         return pd.DataFrame(out, columns=["item_id", "piece_ix", "container", "tokens"])
 
-    return sized.groupBy("shard").applyInPandas(fill, PACKED)
+    # By number, so that small shards aren't put together in one task: packing them takes time, not space.
+    return sized.repartition(shards, "shard").groupBy("shard").applyInPandas(fill, PACKED)
 
 
 def usage(packed: DataFrame, capacity: int = 2048) -> DataFrame:

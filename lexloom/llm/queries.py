@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import enrichment, markup, mixing, multiindex, outranking, packing, pagediff, postings, splitter, term_counts
+from lexloom.llm import enrichment, markup, mixing, multiindex, outranking, packing, pagediff, postings, reading, splitter, term_counts
 from lexloom.llm.tokens import token_count
 from lexloom.runtime import materialize, table
 
@@ -121,6 +121,14 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(r[0],) for r in rows if r[5] < r[3]], "source string")
 
 
+def p10_grades(spark: SparkSession, d: str) -> DataFrame:
+    return reading.graded(table(spark, d, "documents"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.banded(p10_grades(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
@@ -143,4 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_draw": p9_draw,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_grades": p10_grades,
 }
