@@ -22,7 +22,7 @@ def folded(term: Column) -> Column:
     @F.pandas_udf("string")
     def rest(terms: pd.Series) -> pd.Series:
         seen = {t: fold(t) for t in terms.dropna().unique()}
-        return terms.map(seen, na_action="ignore")
+        return pd.Series([seen.get(t) for t in terms], dtype=object)
 
     ascii_only = term.rlike(r"^[\x20-\x7e]*$")
     return F.when(ascii_only, F.trim(F.lower(term))).otherwise(rest(F.when(~ascii_only, term)))
