@@ -40,7 +40,8 @@ def fold(word: Column) -> Column:
 
     @F.pandas_udf("string")
     def rest(words: pd.Series) -> pd.Series:
-        return words.map({w: fold_text(w) for w in words.dropna().unique()}, na_action="ignore")
+        seen = {w: fold_text(w) for w in words.dropna().unique()}
+        return pd.Series([seen.get(w) for w in words], dtype=object)
 
     plain = word.rlike(r"^[\x00-\x7f]*$")
     return F.when(plain, F.lower(word)).otherwise(rest(F.when(~plain, word)))

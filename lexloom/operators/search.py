@@ -106,6 +106,11 @@ def blended(index: Index, queries: DataFrame, options: Options = Options()) -> D
     return rows.where(matches(index.chunks, options.where))
 
 
+def _tie(score: str) -> Column:
+    """Scores as they are ordered: sums that differ by the order of adding only are equal."""
+    return F.round(score, 9)
+
+
 def grouped(rows: DataFrame, mode: str = "document") -> DataFrame:
     """One row a result: the best chunk of every document with the number of its chunks that match
     (``document``), the same with all of them listed (``expanded``), or every chunk by itself (``none``).
@@ -116,8 +121,8 @@ def grouped(rows: DataFrame, mode: str = "document") -> DataFrame:
         best = rows.withColumn("matches", F.lit(1).cast("long"))
     else:
         own = [c for c in rows.columns if c not in ("query_id", "corpus", "document_id")]
-        key = F.struct(F.col("score").alias("_s"), (-F.col("chunk_ix")).alias("_c"), *own)
-        listed = [F.reverse(F.sort_array(F.collect_list(F.struct("score", (-F.col("chunk_ix")).alias("_c"), "id")))).alias("chunks")] if mode == "expanded" else []
+        key = F.struct(_tie("score").alias("_s"), (-F.col("chunk_ix")).alias("_c"), *own)
+        listed = [F.reverse(F.sort_array(F.collect_list(F.struct(_tie("score").alias("_s"), (-F.col("chunk_ix")).alias("_c"), "id", "score")))).alias("chunks")] if mode == "expanded" else []
         best = rows.groupBy("query_id", "corpus", "document_id").agg(F.max(key).alias("b"), F.count(F.lit(1)).alias("matches"), *listed)
         best = best.select("query_id", "corpus", "document_id", "matches", *[F.transform("chunks", lambda c: F.struct(c["id"].alias("id"), c["score"].alias("score"))).alias("chunks") for _ in listed], *[F.col(f"b.{c}").alias(c) for c in own])
     return best
@@ -126,7 +131,7 @@ def grouped(rows: DataFrame, mode: str = "document") -> DataFrame:
 def paged(results: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
     """Adds ``rank`` and ``total`` and keeps the page. A rank filter over the window lets Spark cut every
     query to its first ``offset + limit`` rows before the shuffle."""
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus", "id")
+    by = Window.partitionBy("query_id").orderBy(_tie("score").desc(), "corpus", "id")
     offset, limit = max(0, int(offset)), max(0, int(limit))
     page = results.withColumn("rank", F.row_number().over(by)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
     totals = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
