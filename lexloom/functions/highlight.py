@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import fold_text, stem_word
 
 _WORD = re.compile(r"[^\W_]+")
-TERMS = "array<struct<term:string,source:string,kind:string>>"
 
 
 def ranges(text: str, terms: list[dict]) -> list[tuple[int, int]]:
@@ -51,7 +50,7 @@ def highlight_ranges(text: Column, terms: Column) -> Column:
     def run(texts: pd.Series, found: pd.Series) -> pd.Series:
         return pd.Series([[{"start": s, "end": e} for s, e in ranges(t or "", list(f) if f is not None else [])] for t, f in zip(texts, found, strict=True)])
 
-    return run(text, terms.cast(TERMS))
+    return run(text, F.transform(terms, lambda t: F.struct(t["term"].alias("term"), t["source"].alias("source"), t["kind"].alias("kind"))))
 
 
 def snippet(text: Column, terms: Column, radius: int = 80, most: int = 8) -> Column:
@@ -62,4 +61,4 @@ def snippet(text: Column, terms: Column, radius: int = 80, most: int = 8) -> Col
         got = [excerpt(t or "", list(f) if f is not None else [], radius, most) for t, f in zip(texts, found, strict=True)]
         return pd.DataFrame({"text": [g[0] for g in got], "ranges": [[{"start": s, "end": e} for s, e in g[1]] for g in got]})
 
-    return run(text, terms.cast(TERMS))
+    return run(text, F.transform(terms, lambda t: F.struct(t["term"].alias("term"), t["source"].alias("source"), t["kind"].alias("kind"))))

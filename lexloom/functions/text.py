@@ -59,24 +59,44 @@ DROPPED = ("ement", "ment", "able", "ible", "ance", "ence", "ate", "iti", "ion",
 
 
 def stem_english(word: Column) -> Column:
-    """Light English stems of folded words, in built-in expressions. Up to three letters stay as they are."""
+    """Light English stems of folded words, in built-in expressions. Up to three letters stay as they are.
+
+    Each step is bound to a lambda variable; written out, every use of a step would repeat all before it.
+    """
     n = F.length
     cut = lambda w, k: F.left(w, n(w) - k)
     vowel = lambda w: w.rlike("[aeiouy]")
-    w = word
-    plural = F.when(w.endswith("sses"), cut(w, 2)).when(w.endswith("ies"), cut(w, 2))
-    w1 = plural.when(w.endswith("s") & ~w.endswith("ss") & vowel(cut(w, 2)), cut(w, 1)).otherwise(w)
-    past = F.when(w1.endswith("eedly"), F.when(n(w1) > 6, cut(w1, 3)).otherwise(w1)).when(w1.endswith("eed"), F.when(n(w1) > 4, cut(w1, 1)).otherwise(w1))
-    for e in ("ingly", "edly", "ing", "ed"):
-        r = cut(w1, len(e))
-        mended = F.when(r.rlike("(at|bl|iz)$"), F.concat(r, F.lit("e"))).when(r.rlike(r"([^aeiou])\1$") & ~r.rlike("(ll|ss|zz)$"), cut(r, 1)).otherwise(r)
-        past = past.when(w1.endswith(e) & vowel(r), mended)
-    w2 = past.otherwise(w1)
-    w3 = F.when((n(w2) > 2) & w2.rlike("[^aeiouy]y$"), F.concat(cut(w2, 1), F.lit("i"))).otherwise(w2)
-    derived = reduce(lambda c, p: c.when(w3.endswith(p[0]) & (n(w3) - (len(p[0]) - 1) >= 3), F.concat(cut(w3, len(p[0])), F.lit(p[1]))), DERIVED, F.when(F.lit(False), w3)).otherwise(w3)
-    w5 = F.when(n(derived) > 4, F.regexp_replace(derived, f"^(.{{3,}}?)({'|'.join(DROPPED)})$", "$1")).otherwise(derived)
-    w6 = F.when((n(w5) > 4) & w5.endswith("e"), cut(w5, 1)).otherwise(w5)
-    return F.when(n(word) <= 3, word).otherwise(w6)
+    then = lambda w, step: F.get(F.transform(F.array(w), step), F.lit(0))
+
+    def plural(w: Column) -> Column:
+        return F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss") & vowel(cut(w, 2)), cut(w, 1)).otherwise(w)
+
+    def mended(r: Column) -> Column:
+        return F.when(r.rlike("(at|bl|iz)$"), F.concat(r, F.lit("e"))).when(r.rlike(r"([^aeiou])\1$") & ~r.rlike("(ll|ss|zz)$"), cut(r, 1)).otherwise(r)
+
+    def past(w: Column) -> Column:
+        out = F.when(w.endswith("eedly"), F.when(n(w) > 6, cut(w, 3)).otherwise(w)).when(w.endswith("eed"), F.when(n(w) > 4, cut(w, 1)).otherwise(w))
+        for e in ("ingly", "edly", "ing", "ed"):
+            out = out.when(w.endswith(e) & vowel(cut(w, len(e))), then(cut(w, len(e)), mended))
+        return out.otherwise(w)
+
+    def final_y(w: Column) -> Column:
+        return F.when((n(w) > 2) & w.rlike("[^aeiouy]y$"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w)
+
+    def derived(w: Column) -> Column:
+        out = F.when(F.lit(False), w)
+        for e, to in DERIVED:
+            out = out.when(w.endswith(e) & (n(w) - (len(e) - 1) >= 3), F.concat(cut(w, len(e)), F.lit(to)))
+        return out.otherwise(w)
+
+    def dropped(w: Column) -> Column:
+        return F.when(n(w) > 4, F.regexp_replace(w, f"^(.{{3,}}?)({'|'.join(DROPPED)})$", "$1")).otherwise(w)
+
+    def final_e(w: Column) -> Column:
+        return F.when((n(w) > 4) & w.endswith("e"), cut(w, 1)).otherwise(w)
+
+    stem = reduce(then, (plural, past, final_y, derived, dropped, final_e), word)
+    return F.when(n(word) <= 3, word).otherwise(stem)
 
 
 def stem_word(w: str) -> str:
