@@ -194,7 +194,7 @@ def differenced(documents: DataFrame, near: int = NEAR) -> DataFrame:
     shown = laid.join(F.broadcast(edges.select("id", moves.alias("to"))), "id")
     shown = shown.select("id", "host", "path", "title", "content", F.explode("to").alias(PID), F.lit(False).alias("own"))
     parts = max(1, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    met = laid.withColumn("own", F.lit(True)).unionByName(shown).where(F.col(PID) >= 0).repartition(parts, PID).sortWithinPartitions(PID, *order)
+    met = laid.withColumn("own", F.lit(True)).unionByName(shown).where(F.col(PID) >= 0).repartitionById(parts, F.col(PID)).sortWithinPartitions(PID, *order)
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         window: deque = deque()  # pages of one range and host in order, with their lines and what they share

@@ -3,7 +3,7 @@
 A text is handled in ranges of a fixed number of characters, whatever its length: one worker finds the
 word starts, boundaries and headings of a range, looking a halo beyond its edges. Word counts of the
 ranges are added up, which gives every boundary its place in the text. Pieces are planned over spans of
-a fixed number of ranges, from the boundary tables alone, and each range then emits its share of the
+a bounded number of words, from the boundary tables alone, and each range then emits its share of the
 pieces that touch it. No task ever holds a whole text.
 """
 
@@ -23,7 +23,7 @@ from lexloom.runtime import materialize
 # Unicode white space, sentence ends, and what may close after them.
 WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0  -     　"
 CLOSERS = "\"'”’»›)\\]}"
-RANGE, SPAN, HALO = 65_536, 64, 256
+RANGE, SPAN, HALO = 65_536, 500_000, 256
 ITEM = ["item_kind", "item_id"]
 
 _START = re.compile(f"(?<![^{WHITE}])[^{WHITE}]")
@@ -126,8 +126,10 @@ def pieces(items: DataFrame, range_chars: int = RANGE, span: int = SPAN) -> Data
     laid = range_layout(found, ITEM, ["range_ix"])
     tables = running_sum(laid, ITEM, ["range_ix"], F.col("n"), "upto").withColumn("offset", F.col("upto") - F.col("n"))
     large = laid.groupBy(*ITEM, "words_limit").agg(F.sum("n").alias("words")).where("words > words_limit").select(*ITEM, "words")
+    # A span has at least the words of a range and a piece, so a piece reaches into the spans beside its own only.
+    width = F.greatest(F.lit(span), F.lit(range_chars // 2 + 1) + F.col("words_limit"))
     shift = lambda c: F.transform(c, lambda x: x + F.col("offset"))
-    tables = tables.join(large, ITEM).select(*ITEM, "words_limit", "words_overlap", "range_ix", "offset", "words", F.floor(F.col("range_ix") / span).cast("int").alias("span_ix"), F.arrays_zip(shift("places").alias("at"), F.col("strengths").alias("strength")).alias("bounds"), F.arrays_zip(shift("heads").alias("at"), F.col("titles").alias("title")).alias("heads"), "n")
+    tables = tables.join(large, ITEM).select(*ITEM, "words_limit", "words_overlap", "range_ix", "offset", "words", F.floor(F.col("offset") / width).cast("int").alias("span_ix"), F.arrays_zip(shift("places").alias("at"), F.col("strengths").alias("strength")).alias("bounds"), F.arrays_zip(shift("heads").alias("at"), F.col("titles").alias("title")).alias("heads"), "n")
     tables = materialize(tables, "boundaries")
 
     # A span's table is bounded by its characters. Its pieces run from its first boundary to the next span's.
