@@ -281,7 +281,7 @@ def style_tree(pages: DataFrame, least_pages: int = 5, threshold: float = 0.2) -
     seen = pages.select("host", "content").mapInPandas(parse, "host string, path string, shown long")
     each = seen.groupBy("host", "path", "shown").agg(F.count(F.lit(1)).alias("c"))
     spread = each.groupBy("host", "path").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("clogc"))
-    importance = (F.log("m") - F.col("clogc") / F.col("m")) / F.log("m")
+    importance = F.try_divide(F.log("m") - F.col("clogc") / F.col("m"), F.log("m"))
     low = spread.where(F.col("m") >= least_pages).where(importance < threshold)
     return low.groupBy("host").agg(F.collect_list("path").alias("dull"))
 

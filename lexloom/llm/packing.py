@@ -84,4 +84,4 @@ def usage(packed: DataFrame, capacity: int = 2048) -> DataFrame:
     """One row: containers, tokens in them, and the share of their space in use (null without containers)."""
     boxes = packed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
     one = boxes.agg(F.count(F.lit(1)).alias("containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-    return one.withColumn("used", F.col("tokens") / (F.col("containers") * F.lit(capacity)))
+    return one.withColumn("used", F.try_divide(F.col("tokens").cast("double"), F.col("containers") * F.lit(capacity)))
