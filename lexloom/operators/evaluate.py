@@ -75,7 +75,7 @@ def macro(results: DataFrame, names: tuple[str, ...]) -> DataFrame:
     in the metrics but not in the latency, which is null if nothing completed.
     """
     done = F.col("completed")
-    ms = F.sum(F.when(done, F.col("query_ms"))) / F.sum(F.when(done, F.col("queries")))
+    ms = F.try_divide(F.sum(F.when(done, F.col("query_ms"))), F.sum(F.when(done, F.col("queries"))))
     return results.groupBy("engine").agg(F.count(F.lit(1)).alias("datasets"), *[F.avg(n).alias(n) for n in names], ms.alias("ms_per_query"))
 
 

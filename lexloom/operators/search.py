@@ -89,7 +89,7 @@ def blended(index: Index, queries: DataFrame, options: Options = Options()) -> D
     if options.mode != "semantic":
         lex = lexical(index, queries, options)
         top = lex.groupBy("query_id", "corpus").agg(F.max("lexical_score").alias("_top"))
-        scores = lex.join(top, ["query_id", "corpus"]).withColumn("lexical_score", F.col("lexical_score") / F.col("_top")).drop("_top")
+        scores = lex.join(top, ["query_id", "corpus"]).withColumn("lexical_score", F.try_divide("lexical_score", "_top")).drop("_top")
     if options.mode != "lexical" and index.vectors is not None:
         sims = similarities(index.vectors, queries.join(corpora_of(queries, index, options.corpora), "query_id") if "corpus" not in queries.columns else queries).select(*keys, semantic(F.col("cosine")).alias("semantic_score"))
         scores = sims if scores is None else scores.join(sims, keys, "full")

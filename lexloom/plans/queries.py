@@ -265,7 +265,7 @@ def hybrid_blend(spark: SparkSession, d: str) -> DataFrame:
     top = s.groupBy("query_id", "corpus").agg(F.max("lex").alias("top"))
     cos = vectors.similarities(vector_table(spark, d), _vector_queries(spark, d))
     rows = s.join(top, ["query_id", "corpus"]).join(cos, ["query_id", "corpus", "chunk_ix"], "left")
-    score = scoring.blend(F.col("lex") / F.col("top"), scoring.semantic(F.col("cosine")), 0.5)
+    score = scoring.blend(F.try_divide("lex", "top"), scoring.semantic(F.col("cosine")), 0.5)
     return rows.where("top > 0").select("query_id", "corpus", "chunk_ix", _num(score).alias("score")).where("score > 0")
 
 
