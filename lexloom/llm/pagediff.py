@@ -13,6 +13,7 @@ import html
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -26,6 +27,8 @@ _HIDDEN = re.compile(r"<(head|script|style|template|noscript)\b[^>]*>.*?(?:</\1\
 _LINK = re.compile(r"!?\[([^\]\n]*)\]\([^)\s]*\)")
 _OPEN = re.compile(r"^\s*<(div|section|nav|aside|header|footer|main|article|form|ul|ol|table)\b[^<>]*>\s*$", re.I)
 _BOX = re.compile(r"<(/?)(div|section|nav|aside|header|footer|main|article|form)\b[^<>]*>", re.I)
+_HEADING = re.compile(r"<h[1-6]\b", re.I)
+_ITEM = re.compile(r"\s*<(?:li|dt|dd|tr|td|th)\b", re.I)
 _SENTENCE = re.compile(r"[.!?…:;]['\"”’»)\]*_`~]*$")
 _CALL = re.compile(r"[.?!]\s+\S")
 _MARKED = re.compile(r"^\s*(?:[-*+•]\s|\d+[.)]\s|\||```|>\s|\$\$|    \S|#{1,6}\s|=+ .* =+\s*$|\\(?:begin|end|item|section|sub))")
@@ -79,9 +82,21 @@ def _slug(text: str) -> str:
     return re.sub(r"[\W_]+", "-", text.casefold()).strip("-")
 
 
-def boilerplate(content: str, host: str, path: str, title: str | None, shared: dict[int, int]) -> list[int]:
+def _inside(lines: list[str], name: str) -> set[int]:
+    """Numbers of the lines in elements of a name."""
+    out, deep = set(), 0
+    for k, ln in enumerate(lines):
+        marks = [m.group(1) for m in re.finditer(rf"<(/?){name}\b", ln, re.I)]
+        if deep or marks:
+            out.add(k)
+        for m in marks:
+            deep = max(0, deep + (-1 if m else 1))
+    return out
+
+
+def boilerplate(content: str, host: str, path: str, title: str | None, shared: dict[int, int], near: int) -> list[int]:
     """Numbers of the visible lines that are not of the main body. ``shared``: in how many of
-    the near pages a line has its match."""
+    the ``near`` pages that it was held against a line has its match."""
     lines, seen = content.split("\n"), visible_lines(content)
     labels = host.lower().split(".")
     brand = re.sub(r"\d+$", "", labels[-2] if len(labels) > 1 else labels[0])
@@ -99,6 +114,13 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
         v = seen[k]
         return len(v) < 120 and bool(_CALL.search(v)) and not _SENTENCE.search(v) and not _MARKED.match(lines[k])
 
+    def site(k: int) -> bool:
+        """Most near pages have the line, so it is no sentence that two articles happen to share."""
+        return shared.get(k, 0) > 1 and 2 * shared[k] >= near
+
+    def heading(k: int) -> bool:
+        return bool(_HEADING.search(lines[k])) or own_name(seen[k]) and not _CRUMB.search(seen[k])
+
     def prose(k: int) -> bool:
         return bool(_SENTENCE.search(seen[k])) and len(seen[k].split()) > 3 and not chrome(k)
 
@@ -117,24 +139,38 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
             if stack:
                 stack.pop()
     boxed = any(box[k] for k in texts)
-    weight: dict[int, int] = {}
-    for k in texts:
-        at = box[k][0] if box[k] else -1
-        weight[at] = weight.get(at, 0) + (len(seen[k]) if prose(k) and not call(k) else 0)
     out: set[int] = set()
     if boxed or "</" in content and re.search(r"<(?:h[1-6]|p|body)\b", content):
+        own = {k for k in texts if prose(k) and not call(k) and not site(k)}
+        weight: dict[int, tuple[int, int]] = {}
+        for k in texts:
+            at = box[k][0] if box[k] else -1
+            mine, every = weight.get(at, (0, 0))
+            weight[at] = mine + len(seen[k]) * (k in own), every + len(seen[k]) * (prose(k) and not call(k))
         main = max(weight, key=lambda a: (weight[a], -a))
         body = [k for k in texts if (box[k][0] if box[k] else -1) == main]
-        out |= set(texts) - set(body)
         depth = 0 if main < 0 else 1
+        # Below wrappers: a box that holds all own prose is the body, with what stands in no box beside it.
+        while len(held := {box[k][depth] if len(box[k]) > depth else -1 for k in body if k in own}) == 1 and held != {-1}:
+            body = [k for k in body if len(box[k]) <= depth and not _crumb(seen[k], own_name) or held == set(box[k][depth : depth + 1])]
+            depth += 1
+        out |= set(texts) - set(body)
         inner: dict[int, list[int]] = {}
         for k in body:
-            if len(box[k]) > depth:
-                inner.setdefault(box[k][depth], []).append(k)
-        for own in inner.values():
-            if not any(prose(k) and k not in shared for k in own) and len(own) <= 4:
-                out |= set(own)
-        out |= {k for k in body if chrome(k) or call(k)}
+            for at in box[k][depth:]:
+                inner.setdefault(at, []).append(k)
+        top = {box[k][depth] for k in body if len(box[k]) > depth}
+        for at, held in inner.items():
+            bare = at in top and len(held) <= 4 and not any(prose(k) and k not in shared for k in held)
+            if bare or not own.intersection(held) and 2 * sum(map(site, held)) > len(held):
+                out |= set(held)
+        code = _inside(lines, "pre")
+        lone: set[int] = set()
+        for items, run in groupby(body, lambda k: bool(_ITEM.match(lines[k]))):
+            run = list(run)
+            if not items or 2 * sum(map(site, run)) > len(run):  # items of a list go together
+                lone |= {k for k in run if site(k) and k not in code and not heading(k)}
+        out |= lone | {k for k in body if chrome(k) or call(k)}
         return sorted(out)
 
     bodyish = [k for k in texts if (prose(k) and not call(k)) or (_MARKED.match(lines[k]) and not chrome(k) and (k not in shared or re.match(r"\s*(?:```|\||\$\$)", lines[k])))]
@@ -202,9 +238,9 @@ def differenced(documents: DataFrame, near: int = NEAR) -> DataFrame:
         at = None
 
         def done(p: list) -> None:
-            row, _, shared = p
+            row, _, shared, met = p
             if row.own:
-                drop = boilerplate(row.content, row.host, row.path, row.title, shared)
+                drop = boilerplate(row.content, row.host, row.path, row.title, shared, met)
                 gone = set(drop)
                 body = "\n".join(x for k, x in enumerate(row.content.split("\n")) if k not in gone)
                 out.append((row.id, drop, body))
@@ -216,9 +252,10 @@ def differenced(documents: DataFrame, near: int = NEAR) -> DataFrame:
                     while window:
                         done(window.popleft())
                     at = row.part, row.host
-                page = [row, [key(v) for v in visible_lines(row.content)], {}]
+                page = [row, [key(v) for v in visible_lines(row.content)], {}, 0]
                 for other in window:
                     for one, two in ((page, other), (other, page)):
+                        one[3] += 1
                         for k in common(one[1], two[1]):
                             one[2][k] = one[2].get(k, 0) + 1
                 window.append(page)

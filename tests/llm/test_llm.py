@@ -134,6 +134,25 @@ def test_page_differencing(spark):
     assert pagediff.differenced(spark.createDataFrame([], DOCS)).count() == 0
 
 
+@pytest.mark.parametrize("wrapped", [True, False])
+def test_page_differencing_inside_boxes(spark, wrapped):
+    menu = ["<nav>", *[f"<a href='#'>{w}</a>" for w in ("Home", "Docs", "Guides", "Status", "Pricing", "Blog")], "</nav>"]
+    foot = ["<footer>", *[f"<p>{w}</p>" for w in ("Imprint", "Terms", "Contact", "Jobs", "Press")], "</footer>"]
+    band = ["<div class='b'>", *[f"<span>{w}</span>" for w in ("Red", "Green", "Blue", "Pink", "Grey")], "</div>"]
+
+    def page(t):
+        text = [f"<h1>Title {t}</h1>", f"<p>A long sentence of its own for page {t} stands here.</p>", "<h2>Limits</h2>", "<p>Pages are checked by the city library.</p>", *band]
+        text += ["<section>", f"<p>Another sentence {t * 3} ends the part.</p>", "</section>", "<section>", f"<p>The last one {t * 5} closes the page.</p>", "</section>"]
+        own = ["<article>", *text, "</article>"]
+        return ["<html><body>", *(["<div id='page'>", *menu, *own, *foot, "</div>"] if wrapped else [*menu, *own, *foot]), "</body></html>"]
+
+    rows = [(f"p{k}", f"https://docs.site.example/a/page-{k:02}", f"Title {chr(65 + k)}", "\n".join(page(chr(65 + k))), None, "h") for k in range(10)]
+    for r in pagediff.differenced(spark.createDataFrame(rows, DOCS)).collect():
+        t = chr(65 + int(r.id[1:]))
+        body = [v for v in pagediff.visible_lines(r.body) if v]
+        assert body == [f"Title {t}", f"A long sentence of its own for page {t} stands here.", "Limits", f"Another sentence {t * 3} ends the part.", f"The last one {t * 5} closes the page."]
+
+
 def test_common_is_longest():
     rng = random.Random(2)
     for _ in range(100):
