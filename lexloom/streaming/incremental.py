@@ -34,8 +34,9 @@ def apply_batch(batch: DataFrame, generation: int, out: str, provider: Provider
     """Appends the postings of the batch's documents under a generation, and the vectors of chunk texts that
     the cache does not hold. Writing a generation again replaces it, so a repeated batch changes nothing."""
     spark = batch.sparkSession
-    made = chunks(text_sections(latest(batch)).drop("updated_at")).withColumn("chunk_ix", F.col("id"))
-    made = made.dropDuplicates(["corpus", "id"])
+    made = chunks(text_sections(latest(batch)).drop("updated_at"))
+    # Sections under equal headings have equal chunk ids, so places name the chunks.
+    made = made.withColumn("chunk_ix", F.concat_ws("#", "document_id", "section_ix", "window_ix"))
     owner = made.select("corpus", "chunk_ix", "document_id")
     postings = postings_of(field_terms(made, analyzer)).join(owner, ["corpus", "chunk_ix"])
     named = [c.split()[0] for c in POSTINGS.split(", ")]

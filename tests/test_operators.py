@@ -192,3 +192,22 @@ def test_store(spark, tmp_path):
     df = number_chunks(spark.createDataFrame([("c", f"{k:03}", 400) for k in range(50)], "corpus string, id string, size int"), ["id"])
     packed = store.pack_shards(df, ["corpus", "id"], "size", 1000).groupBy("part", "shard").sum("size").collect()
     assert all(r[2] <= 1000 for r in packed) and sum(r[2] for r in packed) == 20_000
+
+
+def test_incremental_keeps_equal_headings(spark, tmp_path):
+    from datetime import datetime as t
+
+    from lexloom.streaming import incremental
+
+    text = "# 1.1\n\n## Fixed\nalpha beta\n\n## Added\ngamma\n\n# 1.0\n\n## Fixed\ndelta beta\n\n## Added\n" + "epsilon " * 400
+    docs = spark.createDataFrame([("a", "/a", "A", text, "c", t(2025, 1, 1)), ("b", "/b", "B", "plain text", "c", t(2025, 1, 1))], incremental.DOCUMENTS)
+    provider = vectors.hashing_provider(8)
+    incremental.apply_batch(docs, 0, str(tmp_path), provider)
+    cut = chunking.chunks(chunking.text_sections(docs.drop("updated_at")))
+    index = build_index(number_chunks(cut, ["document_id", "section_ix", "window_ix"]))
+    tf = ["term", "tf_title", "tf_heading", "tf_body"]
+    want = index.postings.join(index.chunks.select("corpus", "chunk_ix", "document_id"), ["corpus", "chunk_ix"])
+    got = incremental.current(spark, str(tmp_path))
+    assert sorted(map(tuple, got.select("document_id", *tf).collect())) == sorted(map(tuple, want.select("document_id", *tf).collect()))
+    assert got.select("chunk_ix").distinct().count() == cut.count() > 5
+    assert spark.read.parquet(f"{tmp_path}/cache").count() == cut.select("content").distinct().count()
