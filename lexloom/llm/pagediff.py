@@ -108,7 +108,7 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
 
     def chrome(k: int) -> bool:
         v = seen[k]
-        return bool(CHROME.search(v)) or len(brand) > 3 and brand in v.casefold()
+        return bool(CHROME.search(v)) or len(brand) > 3 and brand in v.casefold() and (k in shared or not _SENTENCE.search(v))
 
     def call(k: int) -> bool:
         v = seen[k]
@@ -116,7 +116,7 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
 
     def site(k: int) -> bool:
         """Most near pages have the line, so it is no sentence that two articles happen to share."""
-        return shared.get(k, 0) > 1 and 2 * shared[k] >= near
+        return shared.get(k, 0) > 1 and 2 * shared[k] > near
 
     def heading(k: int) -> bool:
         return bool(_HEADING.search(lines[k])) or own_name(seen[k]) and not _CRUMB.search(seen[k])
@@ -173,7 +173,7 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
         out |= lone | {k for k in body if chrome(k) or call(k)}
         return sorted(out)
 
-    bodyish = [k for k in texts if (prose(k) and not call(k)) or (_MARKED.match(lines[k]) and not chrome(k) and (k not in shared or re.match(r"\s*(?:```|\||\$\$)", lines[k])))]
+    bodyish = [k for k in texts if (prose(k) and not call(k) and not site(k)) or (_MARKED.match(lines[k]) and not chrome(k) and (k not in shared or re.match(r"\s*(?:```|\||\$\$)", lines[k])))]
     if not bodyish:
         return sorted(k for k in texts if k in shared or chrome(k))
     long = next((k for k in bodyish if prose(k) and len(seen[k].split()) > 7 or re.match(r"\s*(?:#{1,6}\s|=+ .* =+\s*$|\\section)", lines[k])), bodyish[0])
@@ -199,7 +199,7 @@ def boilerplate(content: str, host: str, path: str, title: str | None, shared: d
         elif k > last:
             if not _UNDER.match(lines[k]):
                 out.add(k)
-        elif chrome(k) or call(k):
+        elif chrome(k) or call(k) or prose(k) and site(k):
             out.add(k)
     return sorted(out)
 

@@ -153,6 +153,16 @@ def test_page_differencing_inside_boxes(spark, wrapped):
         assert body == [f"Title {t}", f"A long sentence of its own for page {t} stands here.", "Limits", f"Another sentence {t * 3} ends the part.", f"The last one {t * 5} closes the page."]
 
 
+def test_page_differencing_shared_sentences(spark):
+    rows = []
+    for k in range(10):
+        t = chr(65 + k)
+        text = ["Home", "Docs", f"Title {t}", "", f"A long sentence of its own for page {t} stands here.", "All pages are checked by the city library.", f"Northwind calls this part {t * 3}.", f"Another one {t * 2} ends it."]
+        text += ["Related", f"Part {t} of all", f"Guide to {t}", "This service is funded by the city council."]
+        rows.append((f"p{k}", f"https://docs.northwind.example/a/page-{k:02}", f"Title {t}", "\n".join(text), None, "h"))
+    assert all(r.boilerplate == [0, 1, 5, 8, 9, 10, 11] for r in pagediff.differenced(spark.createDataFrame(rows, DOCS)).collect())
+
+
 def test_common_is_longest():
     rng = random.Random(2)
     for _ in range(100):
