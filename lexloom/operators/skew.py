@@ -10,17 +10,23 @@ from pyspark.sql import functions as F
 from lexloom.runtime import partitions
 
 
-def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+def skew_join(big: DataFrame, unique: DataFrame, keys: list[str], how: str = "inner", rows: int | None = None, size: str | None = None) -> DataFrame:
     """Joins ``big`` with ``unique`` (one row a key) on ``keys``; ``how`` is inner or left.
 
     Keys above ``rows / partitions`` rows are looked up by broadcast: fewer than ``partitions`` keys can
     exceed that share, so their number is bounded whatever the data. All others are joined by shuffle.
+    ``size`` names the column of ``unique`` that holds the rows of a key in ``big``, where that is known;
+    ``big`` is then not counted. ``big`` should be materialized, since both kinds of keys read it.
     Columns of ``unique`` besides the keys must not occur in ``big``. Null keys match nothing.
     """
     parts = partitions(big.sparkSession)
-    rows = big.count() if rows is None else rows
+    if size is None:
+        rows = big.count() if rows is None else rows
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    else:
+        counts = unique.select(*keys, F.col(size).alias("_n"))
+        rows = counts.agg(F.sum("_n")).first()[0] or 0 if rows is None else rows
     least = max(1, rows // parts)
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = [r for r in counts.where(F.col("_n") > least).drop("_n").collect() if all(v is not None for v in r)]
     if not hot:
         return big.join(unique, keys, how)
