@@ -1,9 +1,10 @@
 """Problem 3: one order from several differently scaled scores (outranking net flow).
 
-For every score the items of a group are put on percentiles; an item is preferred to another by as much
-as its percentile is higher. What an item is preferred by minus what others are preferred to it, over
-all others and weighted over the scores, is its net flow. With counts and sums up to each value known,
-the flow needs no pairs.
+For every score the items of a group are put on percentiles. An item is preferred to another not at all
+while its percentile is no more than ``indifference`` higher, fully from ``preference`` on, and in
+proportion between. What an item is preferred by minus what others are preferred to it, over all others
+and weighted over the scores, is its net flow. Counts and sums of the percentiles up to the four places
+at the thresholds' distances give it exactly, without pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +17,22 @@ from pyspark.sql import functions as F
 from lexloom.llm.multiindex import usable
 from lexloom.operators.scan import range_layout, running_sum
 from lexloom.operators.skew import skew_join
+from lexloom.runtime import materialize
 
+# Differences of percentiles that count for nothing, and from which on preference is full.
+INDIFFERENCE, PREFERENCE = 0.05, 0.5
 
-def net_flows(items: DataFrame, group: list[str], item: list[str], scores: dict[str, float]) -> DataFrame:
+
+def net_flows(items: DataFrame, group: list[str], item: list[str], scores: dict[str, float], indifference: float = INDIFFERENCE, preference: float = PREFERENCE) -> DataFrame:
     """(group, item, net_flow) of ``items(group, item, one column a score)``, one row an item.
 
-    ``scores`` names the score columns and their weights. A null or NaN score is the group's lowest,
-    below all others and equal among themselves. Equal scores get equal flows. A group of one item has
-    flow 0; rows with a null in the group are left out. Percentiles depend on the order alone, so units, spread and outliers have no say.
+    ``scores`` names the score columns and their weights; the thresholds are shares of the percentile
+    scale, 0 <= indifference < preference. A null or NaN score is the group's lowest, below all others and
+    equal among themselves; equal scores share the middle of their percentiles. A group of one item has
+    flow 0; rows with a null in the group are left out. An empty table gives no rows.
     """
+    if not 0 <= indifference < preference:
+        raise ValueError("indifference must be at least 0 and less than preference")
     weights = F.create_map(*[x for name, w in scores.items() for x in (F.lit(name), F.lit(float(w)))])
     lowest = F.lit(float("-inf"))
     value = lambda name: F.when(F.isnan(name) | F.col(name).isNull(), lowest).otherwise(F.col(name).cast("double") + F.lit(0.0))
@@ -32,19 +40,31 @@ def net_flows(items: DataFrame, group: list[str], item: list[str], scores: dict[
     long = known.select(*group, *item, F.explode(F.array(*[F.struct(F.lit(n).alias("_by"), value(n).alias("_value")) for n in scores])).alias("_s")).select(*group, *item, "_s._by", "_s._value")
     # Values are counted before they are ordered, so a value that a third of the rows share is one row.
     keys = [*group, "_by"]
-    counts = long.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_same"))
-    laid = range_layout(counts, keys, ["_value"])
-    upto = running_sum(laid, keys, ["_value"], F.col("_same"), "_upto")
-    sizes = counts.groupBy(*keys).agg(F.sum("_same").alias("_size"))
-    placed = upto.join(sizes, keys)
-    below, same, n = F.col("_upto") - F.col("_same"), F.col("_same"), F.col("_size")
-    # Sums of ranks 1..b and 1..n: equal values share the mean of their ranks, which leaves the sums as they are.
-    rank = below + (same + 1) / 2
-    sum_below, sum_above = below * (below + 1) / 2, n * (n + 1) / 2 - F.col("_upto") * (F.col("_upto") + 1) / 2
-    plus, minus = rank * below - sum_below, sum_above - rank * (n - F.col("_upto"))
-    flow = F.when(n > 1, (plus - minus) / ((n - 1) * (n - 1))).otherwise(F.lit(0.0))
-    flows = placed.select(*keys, "_value", (flow * weights[F.col("_by")]).alias("_flow"))
-    joined = skew_join(long, flows, [*keys, "_value"])
+    counts = materialize(long.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_same")), "values")
+    sizes = counts.groupBy(*keys).agg(F.sum("_same").alias("_size"), F.count(F.lit(1)).alias("_values"))
+    upto = running_sum(range_layout(counts, keys, ["_value"]), keys, ["_value"], F.col("_same"), "_upto")
+    placed = skew_join(materialize(upto.select(*keys, "_value", "_same", "_upto"), "places"), sizes, keys, size="_values")
+    # Places are twice the middle rank, so the whole scale is twice the size less one.
+    place = 2 * F.col("_upto") - F.col("_same") + 1
+    far = 2 * (F.col("_size") - 1)
+    shifts = [-preference, -indifference, indifference, preference]
+    points = F.array(
+        F.struct(place.cast("double").alias("_at"), F.lit(0).alias("_ask"), F.col("_same").alias("_n"), (place * F.col("_same")).alias("_sum")),
+        *[F.struct((place + F.lit(d) * far).alias("_at"), F.lit(k).alias("_ask"), F.lit(0).cast("long").alias("_n"), F.lit(0).cast("long").alias("_sum")) for k, d in enumerate(shifts, 1)],
+    )
+    spread = placed.select(*keys, "_value", place.cast("double").alias("_place"), "_size", F.explode(points).alias("_p")).select(*keys, "_value", "_place", "_size", "_p.*")
+    order = ["_at", "_ask", "_value"]
+    laid = range_layout(materialize(spread, "points"), keys, order)
+    summed = running_sum(running_sum(laid, keys, order, F.col("_n"), "_count"), keys, order, F.col("_sum"), "_total")
+    at = lambda k, c: F.max(F.when(F.col("_ask") == k, F.col(c).cast("double")))
+    wide = summed.where("_ask > 0").groupBy(*keys, "_value").agg(F.max("_place").alias("_place"), F.max("_size").alias("_size"), *[at(k, c).alias(f"{c}{k}") for k in (1, 2, 3, 4) for c in ("_count", "_total")])
+    near, full, n = F.lit(2 * indifference) * (F.col("_size") - 1), F.lit(2 * preference) * (F.col("_size") - 1), F.col("_size")
+    between = lambda a, b, c: F.col(f"{c}{b}") - F.col(f"{c}{a}")
+    plus = F.col("_count1") + ((F.col("_place") - near) * between(1, 2, "_count") - between(1, 2, "_total")) / (full - near)
+    minus = n - F.col("_count4") + (between(3, 4, "_total") - (F.col("_place") + near) * between(3, 4, "_count")) / (full - near)
+    flow = F.when(n > 1, (plus - minus) / (n - 1)).otherwise(F.lit(0.0))
+    flows = wide.select(*keys, "_value", (flow * weights[F.col("_by")]).alias("_flow")).join(counts, [*keys, "_value"])
+    joined = skew_join(long, materialize(flows, "flows"), [*keys, "_value"], size="_same")
     return joined.groupBy(*group, *item).agg((F.sum("_flow") / F.lit(float(sum(scores.values())))).alias("net_flow"))
 
 

@@ -31,13 +31,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_scores(spark: SparkSession, d: str) -> DataFrame:
-    return enrichment.enrich(_postings(spark, d))
+    logs = ["log_p", "log_q", "score"]
+    return enrichment.enrich(_postings(spark, d)).withColumns({c: F.round(c, 4) + F.lit(0.0) for c in logs})
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     own = _postings(spark, d)
     records = own.select(*postings.RECORD).distinct().count()
-    scored = enrichment.enrich(own).where("distinctive")
+    scored = enrichment.enrich(own).where("score > 0")
     return scored.where((F.col("frequency") * 5 >= F.col("length")) & (F.col("records") * 100 <= F.lit(3 * records))).select("corpus", "record_ix", "term")
 
 
@@ -46,7 +47,7 @@ def _candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_order(spark: SparkSession, d: str) -> DataFrame:
-    return outranking.rank_candidates(_candidates(spark, d))
+    return outranking.rank_candidates(_candidates(spark, d)).withColumn("net_flow", F.round("net_flow", 9) + F.lit(0.0))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

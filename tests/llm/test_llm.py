@@ -59,6 +59,20 @@ def test_upper_tail():
         assert abs(got - math.log(exact)) < 1e-9
 
 
+def test_upper_tail_of_large_collections():
+    from fractions import Fraction
+
+    for total in (10**9, 10**12, 10**14, 10**16):
+        for k, n, m in ((1, 1, 1000), (2, 40, 10**6), (5, 5, 10**8), (3, 700, 12), (30, 30, total // 10)):
+            falling = lambda a, j: math.prod(a - i for i in range(j))
+            exact = Fraction(0)
+            for i in range(k, min(m, n) + 1):
+                exact += Fraction(math.comb(n, i) * falling(m, i) * falling(total - m, n - i), falling(total, n))
+            want = math.log(exact.numerator) - math.log(exact.denominator)
+            got = enrichment.log_upper_tail(np.array([k]), np.array([n]), np.array([m]), float(total))[0]
+            assert abs(got - want) < 1e-9 * max(1.0, abs(want)), (total, k, n, m, got, want)
+
+
 def test_adjusted_scores(spark):
     rows = [("v1", "c", r, t, f) for r in range(30) for t, f in (("the", 3), (f"w{r % 7}", 1 + r % 3), (f"only{r}", 2))]
     df = spark.createDataFrame(rows, "kind string, corpus string, record_ix long, term string, frequency long")
@@ -78,15 +92,19 @@ def test_net_flow_matches_pairs(spark):
     df = spark.createDataFrame(rows, "g int, i int, a double, b double")
     got = {(r.g, r.i): r.net_flow for r in outranking.net_flows(df, ["g"], ["i"], {"a": 2.0, "b": 1.0}).collect()}
     assert got[3, 0] == 0 and len(got) == 31
+    mean: dict = {}
     for g in (1, 2):
         own = [r for r in rows if r[0] == g]
         total = dict.fromkeys((r[1] for r in own), 0.0)
         for col, w in ((2, 2.0), (3, 1.0)):
             v = [-math.inf if r[col] is None or math.isnan(r[col]) else r[col] for r in own]
-            rank = [sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2 for x in v]
+            rank = [(sum(y < x for y in v) + (sum(y == x for y in v) + 1) / 2) / (len(own) - 1) for x in v]
+            by = lambda d: min(1.0, max(0.0, (d - outranking.INDIFFERENCE) / (outranking.PREFERENCE - outranking.INDIFFERENCE)))
             for r, x in zip(own, rank, strict=True):
-                total[r[1]] += w / 3 * sum(x - y for y in rank) / (len(own) - 1) ** 2
+                total[r[1]] += w / 3 * sum(by(x - y) - by(y - x) for y in rank) / (len(own) - 1)
+                mean[g, r[1]] = mean.get((g, r[1]), 0.0) + w / 3 * sum(x - y for y in rank) / (len(own) - 1)
         assert all(abs(got[g, i] - f) < 1e-9 for i, f in total.items())
+        assert max(abs(got[g, i] - mean[g, i]) for i in total) > 0.01
 
 
 @pytest.mark.parametrize(
