@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import fold_text, stem_word
+from lexloom.functions.stem import stem_word
+from lexloom.functions.text import fold_text
 
 _WORD = re.compile(r"[^\W_]+")
 

@@ -12,7 +12,11 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexloom.functions.stem import stem_english
+
 WORD = r"([\p{L}\p{N}]+)"
+# Fixed value: white space, the no-break and other Unicode blanks included, inside a character class.
+WHITE = r"\s\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
 def clean(text: Column) -> Column:
@@ -47,90 +51,6 @@ def fold(word: Column) -> Column:
     return F.when(plain, F.lower(word)).otherwise(rest(F.when(~plain, word)))
 
 
-# The light English stemmer's derivational endings in the order they are tried, what each
-# becomes, and the endings dropped last (where several fit, the longest).
-DERIVED = (
-    ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"),
-    ("entli", "ent"), ("izer", "ize"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"),
-    ("alism", "al"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"),
-    ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", ""),
-)
-DROPPED = ("ement", "ment", "able", "ible", "ance", "ence", "ate", "iti", "ion", "al", "er", "ic", "ous", "ive", "ize")
-
-
-def stem_english(word: Column) -> Column:
-    """Light English stems of folded words, in built-in expressions. Up to three letters stay as they are.
-
-    Each step is bound to a lambda variable; written out, every use of a step would repeat all before it.
-    """
-    n = F.length
-    cut = lambda w, k: F.left(w, n(w) - k)
-    vowel = lambda w: w.rlike("[aeiouy]")
-    then = lambda w, step: F.get(F.transform(F.array(w), step), F.lit(0))
-
-    def plural(w: Column) -> Column:
-        return F.when(w.endswith("sses") | w.endswith("ies"), cut(w, 2)).when(w.endswith("s") & ~w.endswith("ss") & vowel(cut(w, 2)), cut(w, 1)).otherwise(w)
-
-    def mended(r: Column) -> Column:
-        return F.when(r.rlike("(at|bl|iz)$"), F.concat(r, F.lit("e"))).when(r.rlike(r"([^aeiou])\1$") & ~r.rlike("(ll|ss|zz)$"), cut(r, 1)).otherwise(r)
-
-    def past(w: Column) -> Column:
-        out = F.when(w.endswith("eedly"), F.when(n(w) > 6, cut(w, 3)).otherwise(w)).when(w.endswith("eed"), F.when(n(w) > 4, cut(w, 1)).otherwise(w))
-        for e in ("ingly", "edly", "ing", "ed"):
-            out = out.when(w.endswith(e) & vowel(cut(w, len(e))), then(cut(w, len(e)), mended))
-        return out.otherwise(w)
-
-    def final_y(w: Column) -> Column:
-        return F.when((n(w) > 2) & w.rlike("[^aeiouy]y$"), F.concat(cut(w, 1), F.lit("i"))).otherwise(w)
-
-    def derived(w: Column) -> Column:
-        out = F.when(F.lit(False), w)
-        for e, to in DERIVED:
-            out = out.when(w.endswith(e) & (n(w) - (len(e) - 1) >= 3), F.concat(cut(w, len(e)), F.lit(to)))
-        return out.otherwise(w)
-
-    def dropped(w: Column) -> Column:
-        return F.when(n(w) > 4, F.regexp_replace(w, f"^(.{{3,}}?)({'|'.join(DROPPED)})$", "$1")).otherwise(w)
-
-    def final_e(w: Column) -> Column:
-        return F.when((n(w) > 4) & w.endswith("e"), cut(w, 1)).otherwise(w)
-
-    stem = reduce(then, (plural, past, final_y, derived, dropped, final_e), word)
-    return F.when(n(word) <= 3, word).otherwise(stem)
-
-
-def stem_word(w: str) -> str:
-    """``stem_english`` of one word, for highlighting on the Python side."""
-    if len(w) <= 3:
-        return w
-    has = lambda s: re.search("[aeiouy]", s)
-    if w.endswith(("sses", "ies")):
-        w = w[:-2]
-    elif w.endswith("s") and not w.endswith("ss") and has(w[:-2]):
-        w = w[:-1]
-    if w.endswith("eedly"):
-        w = w[:-3] if len(w) > 6 else w
-    elif w.endswith("eed"):
-        w = w[:-1] if len(w) > 4 else w
-    else:
-        e = next((e for e in ("ingly", "edly", "ing", "ed") if w.endswith(e) and has(w[: -len(e)])), "")
-        if e:
-            w = w[: -len(e)]
-            if w.endswith(("at", "bl", "iz")):
-                w += "e"
-            elif len(w) > 1 and w[-1] == w[-2] and w[-1] not in "aeiou" and not w.endswith(("ll", "ss", "zz")):
-                w = w[:-1]
-    if len(w) > 2 and w[-1] == "y" and w[-2] not in "aeiouy":
-        w = w[:-1] + "i"
-    for e, to in DERIVED:
-        if w.endswith(e) and len(w) - (len(e) - 1) >= 3:
-            w = w[: -len(e)] + to
-            break
-    if len(w) > 4 and (e := next((e for e in DROPPED if w.endswith(e) and len(w) - len(e) >= 3), "")):
-        w = w[: -len(e)]
-    return w[:-1] if len(w) > 4 and w.endswith("e") else w
-
-
 @dataclass(frozen=True)
 class Analyzer:
     """How words become terms. ``stemmer`` is none, ``en``, or the id of a registered stemmer."""

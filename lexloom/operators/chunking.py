@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import chunk_id, clean
+from lexloom.functions.text import WHITE, chunk_id, clean
 
 MAX_WORDS, OVERLAP = 180, 30
 
@@ -14,26 +14,26 @@ def text_sections(documents: DataFrame) -> DataFrame:
     """One row a section of plain text: (all columns of ``documents``, section_ix, heading, section).
 
     ``documents(id, url, title, content, ...)``. A line of one to six ``#`` and a heading opens a section;
-    its lines are joined and cleaned; sections without text are left out. A blank title becomes the first
-    heading, else the url. Null contents have no sections. Lines are handled inside the row, so neither a
+    its lines are joined and cleaned; sections without text are left out. A blank title becomes the heading
+    of the first section with text, else (as where that one has no heading) the url. Null contents have no sections. Lines are handled inside the row, so neither a
     long document nor many sections need a shuffle.
     """
-    lines = F.split(F.coalesce("content", F.lit("")), r"\r\n|\n|\r", -1)
-    mark = r"^#{1,6}\s+(.+)$"
+    lines = F.split(F.coalesce("content", F.lit("")), r"\r?\n", -1)
+    mark = rf"^#{{1,6}}[{WHITE}]+([^\r\n\x{{2028}}\x{{2029}}]+)\z"
     start = F.struct(F.lit(None).cast("string").alias("heading"), F.array().cast("array<string>").alias("lines"))
     state = F.struct(F.array().cast("array<struct<heading:string,lines:array<string>>>").alias("done"), start.alias("now"))
 
     def step(s: Column, line: Column) -> Column:
-        opened = F.struct(F.trim(F.regexp_extract(line, mark, 1)).alias("heading"), F.array().cast("array<string>").alias("lines"))
+        opened = F.struct(clean(F.regexp_extract(line, mark, 1)).alias("heading"), F.array().cast("array<string>").alias("lines"))
         longer = F.struct(s["now"]["heading"].alias("heading"), F.concat(s["now"]["lines"], F.array(line)).alias("lines"))
         closed = F.struct(F.concat(s["done"], F.array(s["now"])).alias("done"), opened.alias("now"))
         return F.when(line.rlike(mark), closed).otherwise(F.struct(s["done"].alias("done"), longer.alias("now")))
 
     every = F.aggregate(lines, state, step, lambda s: F.concat(s["done"], F.array(s["now"])))
     each = F.transform(every, lambda x: F.struct(x["heading"].alias("heading"), clean(F.array_join(x["lines"], " ")).alias("section")))
-    first = F.regexp_extract("content", r"(?m)^#{1,6}\s+(.+)$", 1)
-    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.trim(first), F.lit("")), F.col("url"))
-    out = documents.withColumn("title", title).select("*", F.posexplode(F.filter(each, lambda x: x["section"] != "")).alias("section_ix", "_s"))
+    filled = F.filter(each, lambda x: x["section"] != "")
+    title = F.coalesce(F.nullif("title", F.lit("")), F.nullif(F.get(filled, F.lit(0))["heading"], F.lit("")), F.col("url"))
+    out = documents.withColumn("title", title).select("*", F.posexplode(filled).alias("section_ix", "_s"))
     return out.select("*", F.col("_s.heading").alias("heading"), F.col("_s.section").alias("section")).drop("_s")
 
 

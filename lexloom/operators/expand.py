@@ -35,7 +35,9 @@ def expand(terms: DataFrame, dictionary: DataFrame, corpora: DataFrame, budget:
     if budget > 0:
         has = exact.select("corpus", "source", F.lit(True).alias("_exact"))
         grow = words.where("prefix").select("source").distinct()
-        sizes = [r[0] for r in grow.select(F.length("source")).distinct().limit(64).collect()]
+        # Distinct lengths below that of the longest term: a number of lengths, not of words.
+        longest = dictionary.agg(F.max(F.length("term"))).first()[0] or 0
+        sizes = sorted(r[0] for r in grow.select(F.length("source").alias("n")).where(F.col("n") < longest).distinct().collect())
         cuts = F.filter(F.array(*[F.lit(s) for s in sizes]).cast("array<int>"), lambda s: s < F.length("term"))
         stems = dictionary.select("corpus", "term", "df", F.explode(cuts).alias("_s")).withColumn("source", F.expr("left(term, _s)"))
         longer = stems.join(grow, "source").join(has, ["corpus", "source"], "left")
@@ -44,8 +46,7 @@ def expand(terms: DataFrame, dictionary: DataFrame, corpora: DataFrame, budget:
         prefixed = longer.withColumn("_r", F.row_number().over(by_df)).where(F.col("_r") <= room).select("corpus", "source", "term", "df", F.lit("prefix").alias("kind"), F.lit(0).alias("distance"))
         # Typos: for words as such (no exact term), and for last words (neither exact nor continued).
         reach = F.when(F.length("source") >= 8, 2).when(F.length("source") >= 4, 1).otherwise(0)
-        here = dictionary.select("corpus").distinct()
-        asked = words.join(here.hint("broadcast")).withColumn("_k", reach).where("_k > 0")
+        asked = terms.join(corpora, "query_id").select("corpus", "source", "prefix").distinct().withColumn("_k", reach).where("_k > 0")
         asked = asked.join(has, ["corpus", "source"], "left_anti")
         grown = prefixed.select("corpus", "source").distinct().withColumn("prefix", F.lit(True))
         asked = asked.join(grown, ["corpus", "source", "prefix"], "left_anti")

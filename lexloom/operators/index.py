@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from lexloom.functions.scoring import FIELDS
 from lexloom.functions.text import Analyzer, analyze_token, tokens
 from lexloom.operators.scan import range_layout, running_sum
-from lexloom.runtime import materialize
+from lexloom.runtime import materialize, release
+
+
+POSTING = ["corpus", "term", "chunk_ix", *[f"tf_{f}" for f in FIELDS], *[f"len_{f}" for f in FIELDS]]
 
 
 @dataclass
@@ -18,7 +21,7 @@ class Index:
     """One table each for all corpora.
 
     chunks(corpus, chunk_ix, id, document_id, ...), postings(corpus, term, chunk_ix, tf_title, tf_heading,
-    tf_body), dictionary(corpus, term, df), lengths(corpus, chunk_ix, len_*), stats(corpus, chunk_count,
+    tf_body, len_title, len_heading, len_body), each with the lengths of its chunk, dictionary(corpus, term, df), lengths(corpus, chunk_ix, len_*), stats(corpus, chunk_count,
     avg_*). ``content`` holds what is only read for a result page; ``vectors(corpus, chunk_ix, embedding)``.
     """
 
@@ -87,8 +90,10 @@ def build_index(chunks: DataFrame, analyzer: Analyzer = Analyzer(), keep: tuple[
     table. Null fields count as empty. An empty table gives an empty index.
     """
     chunks = materialize(chunks, "chunks")
-    postings = materialize(postings_of(field_terms(chunks, analyzer)), "postings")
-    lengths = materialize(lengths_of(postings, chunks), "lengths")
+    counted = materialize(postings_of(field_terms(chunks, analyzer)), "counted")
+    lengths = materialize(lengths_of(counted, chunks), "lengths")
+    postings = materialize(counted.join(lengths, ["corpus", "chunk_ix"]).select(*POSTING), "postings")
+    release(counted)
     scored = chunks.select("corpus", "chunk_ix", "id", "document_id", "url", "title", "heading", *keep)
     return Index(scored, postings, materialize(dictionary_of(postings), "dictionary"), lengths, stats_of(lengths), chunks.select("corpus", "chunk_ix", "content"), None, analyzer)
 
@@ -102,8 +107,10 @@ def index_of_postings(v2: DataFrame) -> Index:
     rows = v2.where("corpus IS NOT NULL AND term IS NOT NULL AND chunk IS NOT NULL")
     tf = [F.greatest(F.lit(0), F.coalesce(F.get("frequencies", F.lit(k)), F.lit(0))).alias(f"tf_{f}") for k, f in enumerate(FIELDS)]
     last = rows.groupBy("corpus", "term", F.col("chunk").alias("chunk_ix")).agg(F.max(F.struct("ingested_at", F.struct(*tf).alias("f")))["f"].alias("f"))
-    postings = materialize(last.select("corpus", "term", "chunk_ix", "f.*").where("tf_title + tf_heading + tf_body > 0"), "postings")
-    lengths = materialize(lengths_of(postings), "lengths")
+    counted = materialize(last.select("corpus", "term", "chunk_ix", "f.*").where("tf_title + tf_heading + tf_body > 0"), "counted")
+    lengths = materialize(lengths_of(counted), "lengths")
+    postings = materialize(counted.join(lengths, ["corpus", "chunk_ix"]).select(*POSTING), "postings")
+    release(counted)
     chunks = lengths.select("corpus", "chunk_ix", F.concat_ws("#", "corpus", F.col("chunk_ix").cast("string")).alias("id"), F.concat_ws("#", "corpus", F.floor(F.col("chunk_ix") / 4).cast("string")).alias("document_id"))
     return Index(chunks, postings, materialize(dictionary_of(postings), "dictionary"), lengths, stats_of(lengths))
 

@@ -15,7 +15,9 @@ from lexloom.operators.expand import BUDGET, expand, query_terms
 from lexloom.operators.filters import matches
 from lexloom.operators.index import Index
 from lexloom.operators.vectors import similarities
+from lexloom.runtime import materialize
 
+KEYS = ["query_id", "corpus", "chunk_ix"]
 RESULT = ["query_id", "rank", "corpus", "document_id", "chunk_ix", "id", "score", "lexical_score", "semantic_score", "matches"]
 
 
@@ -38,29 +40,37 @@ class Options:
 def corpora_of(queries: DataFrame, index: Index, names: tuple[str, ...] = ()) -> DataFrame:
     """(query_id, corpus): where each query looks. A ``corpus`` column of the queries names one corpus;
     a null there, as an empty selection, means all of them."""
-    known = index.stats.select("corpus")
-    known = known.where(F.col("corpus").isin(*names)) if names else known
+    # One row a corpus: the statistics table, not data that grows with the chunks.
+    known = index.stats.select("corpus").where(F.col("corpus").isin(*names) if names else F.lit(True))
+    every = F.array(*[F.lit(r.corpus) for r in known.orderBy("corpus").collect()]).cast("array<string>")
+    look = every
     if "corpus" in queries.columns:
-        asked = queries.select("query_id", F.col("corpus").alias("_c"))
-        # One row a corpus: the statistics table, not data that grows with the chunks.
-        return asked.join(F.broadcast(known), F.col("_c").isNull() | (F.col("_c") == F.col("corpus"))).select("query_id", "corpus")
-    return queries.select("query_id").join(F.broadcast(known))
+        look = F.when(F.col("corpus").isNull(), every).otherwise(F.filter(every, lambda c: c == F.col("corpus")))
+    return queries.select("query_id", F.explode(look).alias("corpus"))
 
 
 def lexical(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
     """(query_id, corpus, chunk_ix, lexical_score, terms): fielded BM25 of every chunk with a matched term.
 
     A chunk takes the best expansion of each query word (of equal ones the first) and adds the words up;
-    a repeated word counts again. Matching joins on (corpus, term), so a common term's postings spread by
-    the join's own skew handling, and sums are combined before they are shuffled.
+    a repeated word counts again. Postings hold the lengths of their chunk and meet the words by term, of
+    which a word of a third of all postings is looked up by broadcast like every other where the words are
+    few. The hits are shuffled once, by query and chunk, for both the best and the sum.
     """
     words = query_terms(queries, index.analyzer)
     terms = expand(words, index.dictionary, corpora_of(queries, index, options.corpora), options.max_expansions)
-    hits = index.postings.join(terms, ["corpus", "term"]).join(index.lengths, ["corpus", "chunk_ix"]).join(F.broadcast(index.stats), "corpus")
-    scored = hits.withColumn("s", bm25f(F.col("df"), F.col("chunk_count"), dict(options.weights), F.col("boost")))
-    best = scored.groupBy("query_id", "corpus", "chunk_ix", "source_ix").agg(F.max(F.struct("s", (-F.col("ord")).alias("o"), "term", "source", "kind", "distance")).alias("b"))
-    found = F.struct("source_ix", "b.term", "b.source", "b.kind", "b.distance")
-    return best.groupBy("query_id", "corpus", "chunk_ix").agg(F.sum("b.s").alias("lexical_score"), F.sort_array(F.collect_list(found)).alias("terms"))
+    postings = index.postings
+    if "len_body" not in postings.columns:
+        postings = postings.join(index.lengths, KEYS[1:])
+    hits = postings.join(terms, ["corpus", "term"]).join(index.stats, "corpus")
+    scored = hits.select(*KEYS, "source_ix", bm25f(F.col("df"), F.col("chunk_count"), dict(options.weights), F.col("boost")).alias("s"), (-F.col("ord")).alias("o"), "term", "source", "kind", "distance")
+    met = scored.repartition(*KEYS)
+    if options.max_expansions > 0:
+        best = met.groupBy(*KEYS, "source_ix").agg(F.max(F.struct("s", "o", "term", "source", "kind", "distance")).alias("b")).select(*KEYS, "source_ix", "b.*")
+    else:
+        best = met
+    found = F.struct("source_ix", "term", "source", "kind", "distance")
+    return best.groupBy(*KEYS).agg(F.sum("s").alias("lexical_score"), F.sort_array(F.collect_list(found)).alias("terms"))
 
 
 def unfielded(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
@@ -74,36 +84,46 @@ def unfielded(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> Da
     return scored.groupBy("query_id", "corpus", "chunk_ix").agg(F.sum("s").alias("score"), F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def blended(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
-    """Every chunk with a positive score: (query_id, corpus, chunk_ix, chunk columns, score,
-    lexical_score, semantic_score, terms), filtered.
-
-    The lexical score is divided by the best of its query and corpus *before* the filter. Semantic and
-    hybrid queries take the vectors of the index and ``queries.query_vector``; a hybrid query without
-    vectors is lexical, a semantic one finds nothing.
-    """
+def scores_of(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
+    """(query_id, corpus, chunk_ix, lexical_score, semantic_score, score, terms) of every chunk with a
+    positive score, before any filter. The lexical matches are worked out once and kept as a table."""
     if options.mode not in ("lexical", "semantic", "hybrid"):
         raise ValueError(f"unknown mode {options.mode!r}")
-    keys = ["query_id", "corpus", "chunk_ix"]
     scores = None
     if options.mode != "semantic":
-        lex = lexical(index, queries, options)
+        lex = materialize(lexical(index, queries, options), "matched")
         top = lex.groupBy("query_id", "corpus").agg(F.max("lexical_score").alias("_top"))
         scores = lex.join(top, ["query_id", "corpus"]).withColumn("lexical_score", F.try_divide("lexical_score", "_top")).drop("_top")
     if options.mode != "lexical" and index.vectors is not None:
-        sims = similarities(index.vectors, queries.join(corpora_of(queries, index, options.corpora), "query_id") if "corpus" not in queries.columns else queries).select(*keys, semantic(F.col("cosine")).alias("semantic_score"))
-        scores = sims if scores is None else scores.join(sims, keys, "full")
+        asked = corpora_of(queries, index, options.corpora).join(queries.select("query_id", "query_vector"), "query_id")
+        sims = similarities(index.vectors, asked).select(*KEYS, semantic(F.col("cosine")).alias("semantic_score"))
+        scores = sims if scores is None else scores.join(sims, KEYS, "full")
     if scores is None:
         scores = lexical(index, queries.limit(0), options)
     for name, kind in (("lexical_score", "double"), ("semantic_score", "double")):
         if name not in scores.columns:
             scores = scores.withColumn(name, F.lit(None).cast(kind))
     if "terms" not in scores.columns:
-        scores = scores.withColumn("terms", F.array().cast("array<struct<source_ix:int,term:string,source:string,kind:string,distance:int>>"))
+        scores = scores.withColumn("terms", F.lit(None).cast("array<struct<source_ix:int,term:string,source:string,kind:string,distance:int>>"))
     lex, sem = F.coalesce("lexical_score", F.lit(0.0)), F.col("semantic_score")
     score: Column = lex if options.mode == "lexical" else F.coalesce(sem, F.lit(0.0)) if options.mode == "semantic" else blend(lex, sem, options.semantic_weight)
-    rows = scores.withColumn("score", score).withColumn("lexical_score", lex).where("score > 0").join(index.chunks, ["corpus", "chunk_ix"])
-    return rows.where(matches(index.chunks, options.where))
+    return scores.withColumn("score", score).withColumn("lexical_score", lex).where("score > 0")
+
+
+def blended(index: Index, queries: DataFrame, options: Options = Options(), columns: tuple[str, ...] = (), scores: DataFrame | None = None) -> DataFrame:
+    """Every chunk with a positive score that the filter lets through: (query_id, corpus, chunk_ix, id,
+    document_id, score, lexical_score, semantic_score, and ``columns`` of the chunks).
+
+    The lexical score is divided by the best of its query and corpus *before* the filter. Semantic and
+    hybrid queries take the vectors of the index and ``queries.query_vector``; a hybrid query without
+    vectors is lexical, a semantic one finds nothing. Only columns that order, group or filter are read.
+    """
+    scores = scores_of(index, queries, options) if scores is None else scores
+    asked = [c for c in dict.fromkeys([*columns, *(options.where or {})]) if c in index.chunks.columns]
+    named = list(dict.fromkeys(["corpus", "chunk_ix", "id", "document_id", *asked]))
+    rows = scores.select(*KEYS, "score", "lexical_score", "semantic_score").join(index.chunks.select(*named), ["corpus", "chunk_ix"])
+    rows = rows.where(matches(index.chunks, options.where))
+    return rows.select(*KEYS, "id", "document_id", "score", "lexical_score", "semantic_score", *[c for c in columns if c not in ("id", "document_id", *KEYS)])
 
 
 def _tie(score: str) -> Column:
@@ -128,14 +148,23 @@ def grouped(rows: DataFrame, mode: str = "document") -> DataFrame:
     return best
 
 
+BUCKETS = 16
+
+
 def paged(results: DataFrame, offset: int = 0, limit: int = 10) -> DataFrame:
-    """Adds ``rank`` and ``total`` and keeps the page. A rank filter over the window lets Spark cut every
-    query to its first ``offset + limit`` rows before the shuffle."""
-    by = Window.partitionBy("query_id").orderBy(_tie("score").desc(), "corpus", "id")
+    """Adds ``rank`` and ``total`` and keeps the page. Every query's results are spread over buckets, counted
+    and cut to the first ``offset + limit`` rows in each, and only those meet; so the results are made once
+    and no query is ranked in one task."""
     offset, limit = max(0, int(offset)), max(0, int(limit))
-    page = results.withColumn("rank", F.row_number().over(by)).where((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
-    totals = results.groupBy("query_id").agg(F.count(F.lit(1)).alias("total"))
-    return page.join(totals, "query_id")
+    order = [_tie("score").desc(), F.col("corpus"), F.col("id")]
+    spread = Window.partitionBy("query_id", "_bucket")
+    some = results.withColumn("_bucket", F.pmod(F.xxhash64("corpus", "id"), F.lit(BUCKETS)))
+    some = some.withColumn("_held", F.count(F.lit(1)).over(spread)).withColumn("_r", F.row_number().over(spread.orderBy(*order)))
+    # A bucket's first row stays whatever the limit, to bring its count.
+    some = some.where((F.col("_r") <= offset + limit) | (F.col("_r") == 1))
+    one = Window.partitionBy("query_id")
+    page = some.withColumn("total", F.sum(F.when(F.col("_r") == 1, F.col("_held"))).over(one)).withColumn("rank", F.row_number().over(one.orderBy(*order)))
+    return page.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("_bucket", "_held", "_r")
 
 
 def facet_counts(results: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -166,9 +195,15 @@ def search(index: Index, queries: DataFrame, options: Options = Options(), hydra
     """The result page of every query of ``queries(query_id, text[, corpus][, query_vector])``.
 
     Columns: those of ``RESULT``, ``total``, ``terms``, the metadata columns, ``chunks`` where expanded,
-    and with ``hydrate`` the content, which is joined after the page is cut.
+    and with ``hydrate`` the content. All that neither orders nor filters is joined after the page is cut.
     """
-    page = paged(grouped(blended(index, queries, options), options.group_by), options.offset, options.limit)
+    scores = scores_of(index, queries, options)
+    page = materialize(paged(grouped(blended(index, queries, options, scores=scores), options.group_by), options.offset, options.limit), "page")
+    terms = scores.select(*KEYS, "terms").join(page.select(*KEYS), KEYS, "left_semi")
+    late = [c for c in index.chunks.columns if c not in page.columns]
+    shown = index.chunks.select("corpus", "chunk_ix", *late).join(page.select("corpus", "chunk_ix").distinct(), ["corpus", "chunk_ix"], "left_semi")
+    page = page.join(terms, KEYS, "left").join(shown, ["corpus", "chunk_ix"], "left")
+    page = page.withColumn("terms", F.coalesce("terms", F.array().cast(page.schema["terms"].dataType)))
     if hydrate and index.content is not None:
         page = page.join(index.content, ["corpus", "chunk_ix"], "left")
     return page
@@ -176,7 +211,7 @@ def search(index: Index, queries: DataFrame, options: Options = Options(), hydra
 
 def search_facets(index: Index, queries: DataFrame, options: Options) -> DataFrame:
     """Facet counts over all grouped results, before the page is cut."""
-    return facet_counts(grouped(blended(index, queries, options), options.group_by), options.facets)
+    return facet_counts(grouped(blended(index, queries, options, options.facets), options.group_by), options.facets)
 
 
 def query(index: Index, text: str, options: Options = Options(), vector: list[float] | None = None, hydrate: bool = True) -> DataFrame:

@@ -133,43 +133,71 @@ def to_int8(vectors: DataFrame) -> DataFrame:
     return unit.withColumn("q", scoring.quantize(F.col("_u"), F.col("scale").cast("double"))).drop("embedding", "_u")
 
 
-def similarities(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+# Bytes of query vectors that one pass over the vectors holds.
+PASS_BYTES = 64 << 20
+
+
+def _passes(queries: DataFrame, pass_bytes: int) -> Iterator[dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]]:
+    """The query vectors by corpus and size, in blocks of bounded bytes."""
+    asked = queries.where("query_vector IS NOT NULL").select("query_id", "corpus", "query_vector")
+    held = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0))).first()[0] * 8
+    blocks = 1 + held // (pass_bytes // 2)
+    for k in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toLocalIterator()
+        packs: dict[tuple[str, int], tuple[list, list]] = {}
+        for r in rows:
+            ids, values = packs.setdefault((r.corpus, len(r.query_vector)), ([], []))
+            ids.append(r.query_id)
+            values.append(r.query_vector)
+        if packs:
+            yield {at: (np.array(ids), np.array(values, dtype=np.float64)) for at, (ids, values) in packs.items()}
+
+
+def similarities(vectors: DataFrame, queries: DataFrame, keep: int | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:
     """(query_id, corpus, chunk_ix, cosine) of every query vector with all vectors of its corpus.
 
-    ``queries(query_id, corpus, query_vector)``. The queries of a corpus are put in blocks of 256 that meet
-    its vectors in numpy, batch by batch; vectors of another size than the query's and null ones give no
-    row, zero vectors 0. Work is queries times vectors, as exact search is; a block bounds its memory.
+    ``queries(query_id, corpus, query_vector)``. The queries are broadcast in blocks of about ``pass_bytes``;
+    each block is one pass over the vectors, which are neither shuffled nor copied. Vectors of another size
+    than the query's and null ones give no row, zero vectors 0. With ``keep`` each batch of vectors gives only
+    its best ``keep`` of a query, and what equals the last of them at nine decimals.
     """
-    block = F.pmod(F.xxhash64("query_id"), F.lit(64))
-    asked = queries.where("query_vector IS NOT NULL").select("corpus", F.struct("query_id", "query_vector").alias("q"), block.alias("_b"))
-    packs = asked.groupBy("corpus", "_b").agg(F.collect_list("q").alias("qs"))
-    packs = packs.select("corpus", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.size("qs") - 1) / 256).cast("int")), lambda k: F.slice("qs", k * 256 + 1, 256))).alias("qs"))
-    met = vectors.where("embedding IS NOT NULL").select("corpus", "chunk_ix", "embedding").join(packs, "corpus")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            out = []
-            for _, own in rows.groupby([rows.corpus, rows.qs.map(lambda qs: qs[0]["query_id"])], sort=False):
-                sizes = own.embedding.map(len)
-                for q in own.qs.iloc[0]:
-                    v = np.asarray(q["query_vector"], dtype=np.float64)
-                    fit = own[sizes == len(v)]
-                    if not len(fit):
+    spark = vectors.sparkSession
+    rows_of = vectors.where("embedding IS NOT NULL").select("corpus", "chunk_ix", "embedding")
+    schema = "query_id long, corpus string, chunk_ix long, cosine double"
+    out = None
+    for packs in _passes(queries, pass_bytes):
+        shared = spark.sparkContext.broadcast(packs)
+
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for (corpus, size), own in rows.groupby([rows.corpus, rows.embedding.map(len)], sort=False):
+                    if (corpus, size) not in shared.value:
                         continue
-                    m = np.stack(fit.embedding.to_numpy()).astype(np.float64)
-                    n = np.linalg.norm(m, axis=1) * np.linalg.norm(v)
-                    cos = np.divide(m @ v, n, out=np.zeros(len(m)), where=n > 0)
-                    out.append(pd.DataFrame({"query_id": q["query_id"], "corpus": fit.corpus.to_numpy(), "chunk_ix": fit.chunk_ix.to_numpy(), "cosine": cos}))
-            if out:
-                yield pd.concat(out)
-
-    return met.mapInPandas(run, "query_id long, corpus string, chunk_ix long, cosine double")
+                    ids, asked = shared.value[corpus, size]
+                    m = np.stack(own.embedding.to_numpy()).astype(np.float64)
+                    norms, chunk_ix = np.linalg.norm(m, axis=1), own.chunk_ix.to_numpy()
+                    step = max(1, 4_000_000 // len(m))
+                    for s in range(0, len(ids), step):
+                        q = asked[s : s + step]
+                        n = np.linalg.norm(q, axis=1)[:, None] * norms[None]
+                        cos = np.divide(q @ m.T, n, out=np.zeros(n.shape), where=n > 0)
+                        if keep is not None and keep < len(m):
+                            level = np.round(cos, 9)
+                            some = level >= -np.partition(-level, keep - 1, axis=1)[:, keep - 1 : keep]
+                        else:
+                            some = np.ones(cos.shape, dtype=bool)
+                        a, b = np.nonzero(some)
+                        yield pd.DataFrame({"query_id": ids[s : s + step][a], "corpus": corpus, "chunk_ix": chunk_ix[b], "cosine": cos[a, b]})
+
+        got = rows_of.mapInPandas(run, schema)
+        out = got if out is None else out.unionByName(got)
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def top_similar(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` most similar vectors of every query, of equal cosines the lower chunk first."""
     by = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "corpus", "chunk_ix")
-    return similarities(vectors, queries).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return similarities(vectors, queries, k).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def vector_faults(vectors: DataFrame, dimensions: int) -> DataFrame:

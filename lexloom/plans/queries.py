@@ -17,7 +17,7 @@ from lexloom.operators import chunking, evaluate, search, synthetic, vectors
 from lexloom.operators.filters import matches
 from lexloom.operators.index import Index, build_index, index_faults, index_of_postings, number_chunks, number_documents, unfielded_postings
 from lexloom.operators.search import Options
-from lexloom.runtime import materialize, shared_dir, table
+from lexloom.runtime import materialize, pinned, scoped, shared_dir, table
 from lexloom.sources import documents as sources
 from lexloom.sources import store
 
@@ -27,7 +27,7 @@ _kept: dict[tuple[str, str, str], object] = {}
 def _once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
     key = (spark.sparkContext.applicationId, d, name)
     if key not in _kept:
-        _kept[key] = make()
+        _kept[key] = pinned(make)
     return _kept[key]
 
 
@@ -106,7 +106,7 @@ def document_ordinals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, d: str) -> DataFrame:
-    return built(spark, d).postings
+    return built(spark, d).postings.select("corpus", "term", "chunk_ix", "tf_title", "tf_heading", "tf_body")
 
 
 def dictionary_df(spark: SparkSession, d: str) -> DataFrame:
@@ -437,7 +437,7 @@ def incremental_rebuild(spark: SparkSession, d: str) -> DataFrame:
     return incremental.current(spark, f"{root}/out").groupBy("document_id").agg(F.count(F.lit(1)).alias("postings"), F.sum(F.col("tf_title") + F.col("tf_heading") + F.col("tf_body")).alias("occurrences"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "flagship": flagship,
     "tokenize_count": tokenize_count,
     "fold_terms": fold_terms,
@@ -461,11 +461,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25f_expanded": bm25f_expanded,
     "bm25f_matched_terms": bm25f_matched_terms,
     "bm25f_stored": bm25f_stored,
-    "group_document": flagship,
     "group_none": partial(_searched, group_by="none"),
     "group_expanded": group_expanded,
     "page_offset_limit": partial(_searched, group_by="none", offset=3, limit=4),
-    "multi_corpus": partial(_searched, corpora=("repo",)),
+    "corpus_subset": partial(_searched, corpora=("repo",)),
     "search_where": partial(_searched, where={"lang": "en", "release": {"gte": 2, "lt": 4}, "tags": ["cache", "query", "index"]}),
     "hydrated": hydrated,
     "snippets": snippets,
@@ -503,3 +502,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "index_round_trip": index_round_trip,
     "incremental_rebuild": incremental_rebuild,
 }
+
+QUERIES = {name: scoped(make) for name, make in _MADE.items()}

@@ -97,16 +97,36 @@ _WINDOWS = r"""SELECT doc_id, k::INT AS window_ix, (k * 150)::INT AS word_offset
 FROM (SELECT doc_id, w, unnest(range((1 + ceil(greatest(0, len(w) - 180) / 150.0))::BIGINT)) AS k
   FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) > 0)"""
 
+# The stems step by step: plural, past forms, final y, derivational endings in order, the longest dropped ending, final e.
+_ENDS = [("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("entli", "ent"), ("izer", "ize"), ("ization", "ize"), ("ation", "ate"), ("ator", "ate"), ("alism", "al"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"), ("icate", "ic"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
+_VERBS = "".join(f"WHEN a LIKE '%{e}' AND regexp_matches(left(a, length(a) - {len(e)}), '[aeiouy]') THEN left(a, length(a) - {len(e)}) " for e in ("ingly", "edly", "ing", "ed"))
+_STEMS = rf"""WITH words AS (
+  SELECT DISTINCT word FROM (SELECT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS word FROM documents WHERE lang = 'en') WHERE length(word) > 1),
+plurals AS (
+  SELECT word, CASE WHEN word LIKE '%sses' OR word LIKE '%ies' THEN left(word, length(word) - 2)
+    WHEN word LIKE '%s' AND word NOT LIKE '%ss' AND regexp_matches(left(word, length(word) - 2), '[aeiouy]') THEN left(word, length(word) - 1) ELSE word END AS a FROM words),
+cut AS (
+  SELECT word, a, (a LIKE '%eedly' AND length(a) > 6) OR (a LIKE '%eed' AND length(a) > 4) AS ee, CASE {_VERBS} END AS v FROM plurals),
+past AS (
+  SELECT word, CASE WHEN ee AND a LIKE '%eedly' THEN left(a, length(a) - 3) WHEN ee THEN left(a, length(a) - 1) WHEN v IS NULL THEN a
+    WHEN regexp_matches(v, '(at|bl|iz)$') THEN v || 'e'
+    WHEN length(v) > 1 AND right(v, 1) = left(right(v, 2), 1) AND regexp_matches(v, '[^aeiou]$') AND NOT regexp_matches(v, '(ll|ss|zz)$') THEN left(v, length(v) - 1) ELSE v END AS b FROM cut),
+ys AS (SELECT word, CASE WHEN regexp_matches(b, '[^aeiouy]y$') AND length(b) > 2 THEN left(b, length(b) - 1) || 'i' ELSE b END AS c FROM past),
+derived AS (SELECT word, CASE {"".join(f"WHEN c LIKE '%{e}' AND length(c) >= {len(e) + 2} THEN left(c, length(c) - {len(e)}) || '{to}' " for e, to in _ENDS)} ELSE c END AS d FROM ys),
+ended AS (SELECT word, d, length(regexp_extract(d, '(ement|ment|able|ible|ance|ence|ate|iti|ion|al|er|ic|ous|ive|ize)$', 1)) AS k FROM derived),
+dropped AS (SELECT word, CASE WHEN length(d) > 4 AND k > 0 AND length(d) - k >= 3 THEN left(d, length(d) - k) ELSE d END AS e FROM ended)
+SELECT word, CASE WHEN length(word) <= 3 THEN word WHEN length(e) > 4 AND e LIKE '%e' THEN left(e, length(e) - 1) ELSE e END AS stem FROM dropped"""
+
 _SECTIONS = r"""
 lines AS (
   SELECT doc_id, title, unnest(l) AS line, generate_subscripts(l, 1) AS n FROM (
-    SELECT doc_id, title, regexp_split_to_array(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL)),
+    SELECT doc_id, title, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE text IS NOT NULL)),
 marked AS (SELECT *, regexp_matches(line, '^#{1,6}[ \t]+.+$') AS head, sum(regexp_matches(line, '^#{1,6}[ \t]+.+$')::INT) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM lines),
 secs AS (
   SELECT doc_id, title, sec, max(CASE WHEN head THEN trim(regexp_extract(line, '^#{1,6}[ \t]+(.+)$', 1)) END) AS heading,
     trim(regexp_replace(string_agg(CASE WHEN head THEN NULL ELSE line END, ' ' ORDER BY n), '[ \t\n\x0B\f\r\x{a0}]+', ' ', 'g')) AS section
   FROM marked GROUP BY ALL),
-titles AS (SELECT doc_id, min_by(heading, sec) FILTER (WHERE heading IS NOT NULL) AS first FROM secs GROUP BY doc_id)"""
+titles AS (SELECT doc_id, list_extract(list(heading ORDER BY sec) FILTER (WHERE section <> ''), 1) AS first FROM secs GROUP BY doc_id)"""
 
 _VEC = """
 good AS (
@@ -162,11 +182,10 @@ def _filter(where: str) -> str:
 
 SQL: dict[str, str] = {
     "flagship": _paged(),
-    "group_document": _paged(),
     "index_round_trip": _paged(),
     "group_none": _paged(group=False),
     "page_offset_limit": _paged(group=False, offset=3, limit=4),
-    "multi_corpus": _paged(corpora="'repo'"),
+    "corpus_subset": _paged(corpora="'repo'"),
     "search_where": _paged(where="coalesce(c.lang = 'en' AND c.release >= 2 AND c.release < 4 AND list_has_any(c.tags, ['cache', 'query', 'index']), false)"),
     "group_expanded": _paged().rsplit("SELECT query_id, rank", 1)[0] + """SELECT p.query_id, p.rank, p.corpus, p.document_id, p.matches, string_agg(s.id, ' ' ORDER BY round(s.score, 9) DESC, s.chunk_ix) AS chunk_ids
 FROM page p JOIN sc s ON s.query_id = p.query_id AND s.corpus = p.corpus AND s.document_id IS NOT DISTINCT FROM p.document_id GROUP BY ALL""",
@@ -178,6 +197,7 @@ FROM page p JOIN sc s ON s.query_id = p.query_id AND s.corpus = p.corpus AND s.d
     "fold_terms": rf"SELECT raw, {_FOLD.format('raw')} AS folded FROM (SELECT DISTINCT unnest(regexp_extract_all(text, '[\p{{L}}\p{{N}}]+')) AS raw FROM documents)",
     "clean_titles": r"SELECT doc_id, trim(regexp_replace(title, '[ \t\n\x0B\f\r\x{a0}]+', ' ', 'g')) AS title FROM documents",
     "route_filter": "SELECT DISTINCT id, url FROM search_document WHERE (url LIKE '/guides/%' OR url = '/guides' OR regexp_full_match(url, '/howto/[^/]*')) AND NOT regexp_full_match(url, '/guides/how-to-[^/]*')",
+    "stem_terms": _STEMS,
     "text_sections": f"""WITH {_SECTIONS}
 SELECT doc_id::VARCHAR AS id, coalesce(nullif(title, ''), first, '/doc/' || doc_id) AS title, (row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1)::INT AS section_ix, heading, sha256(section) AS section_sha
 FROM secs JOIN titles USING (doc_id) WHERE section <> ''""",

@@ -42,7 +42,9 @@ def test_skew_join(spark):
 def test_sections_and_windows(spark):
     docs = spark.createDataFrame([("d", "/u", "", "intro\n# Install\nrun it\n\n## Empty\n# Configure\n" + "w " * 400), ("n", "/n", None, None), ("e", "/e", "T", "  ")], "id string, url string, title string, content string")
     s = chunking.text_sections(docs)
-    assert [(r.title, r.heading, r.section[:6]) for r in s.orderBy("section_ix").collect()] == [("Install", None, "intro"), ("Install", "Install", "run it"), ("Install", "Configure", "w w w ")]
+    assert [(r.title, r.heading, r.section[:6]) for r in s.orderBy("section_ix").collect()] == [("/u", None, "intro"), ("/u", "Install", "run it"), ("/u", "Configure", "w w w ")]
+    named = spark.createDataFrame([("h", "/h", None, "# Empty\n## First  one\r\ntext\rmore\n#\u00a0Second\nlast")], docs.schema)
+    assert [(r.title, r.heading, r.section) for r in chunking.text_sections(named).orderBy("section_ix").collect()] == [("First one", "First one", "text more"), ("First one", "Second", "last")]
     c = chunking.chunks(s, 180, 30)
     assert [len(r.content.split()) for r in c.where("heading = 'Configure'").orderBy("window_ix").collect()] == [180, 180, 100]
     for n in (1, 20, 179, 180, 181, 330, 331, 699):
