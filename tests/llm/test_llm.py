@@ -283,23 +283,68 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), 100).count() == 0 and packing.usage(packing.pack(df.limit(0), 100)).first().used is None
 
 
+def least_cost(patterns, quotas, repeats):
+    """Brute force: whole units, every split; (most flow, least cost)."""
+    from itertools import product
+
+    edges = [(p, s) for p in patterns for s in p if s in quotas]
+    best = (0, 0)
+    for given in product(*[range(patterns[p][1].get(s, 0) * repeats[s] + 1) for p, s in edges]):
+        if any(sum(f for f, (_, s) in zip(given, edges, strict=True) if s == q) > n for q, n in quotas.items()):
+            continue
+        cost = 0
+        for p, (t, _) in patterns.items():
+            f = sum(f for f, (x, _) in zip(given, edges, strict=True) if x == p)
+            cost += sum(k // t for k in range(f))
+        best = min(best, (-sum(given), cost))
+    return -best[0], best[1]
+
+
+def test_flow_is_cheapest():
+    rng = random.Random(8)
+    for _ in range(40):
+        patterns = {p: (rng.randint(1, 2), {s: rng.randint(1, 2) for s in p}) for p in (("a",), ("a", "b"), ("b",))}
+        quotas, repeats = {"a": rng.randint(0, 7), "b": rng.randint(0, 7)}, {"a": rng.randint(0, 2), "b": rng.randint(1, 2)}
+        got = mixing.plan_flow(patterns, quotas, repeats)
+        cost = 0
+        for p, (t, _) in patterns.items():
+            cost += sum(k // t for k in range(sum(f for (x, _), f in got.items() if x == p)))
+        assert (sum(got.values()), cost) == least_cost(patterns, quotas, repeats)
+    many = {(f"s{k % 11}", f"t{k}"): (1000 + k, {f"s{k % 11}": 1000 + k, f"t{k}": 500}) for k in range(5000)}
+    assert sum(mixing.plan_flow(many, {f"s{k}": 10**6 for k in range(11)}, {f"s{k}": 4 for k in range(11)}).values()) == 11 * 10**6
+
+
+SIZED = "doc_id long, source string, text_key string, tokens long, sources2 string"
+
+
 def test_flow_and_drawing(spark):
-    got = mixing.plan_flow({("a",): 100, ("a", "b"): 100, ("b",): 10}, {"a": 250, "b": 60}, {"a": 3, "b": 2})
-    into = lambda s: sum(f for (p, t), f in got.items() if t == s)
-    assert into("a") == 250 and into("b") == 60
-    assert mixing.plan_flow({("a",): 10}, {"a": 100, "z": 5}, {"a": 4, "z": 9}) == {(("a",), "a"): 40}
-    docs = spark.createDataFrame([(k, ["big"] if k < 90 else ["small"] if k < 95 else [] if k < 98 else None, 10, "x") for k in range(100)], "doc_id long, sources array<string>, tokens long, source string")
+    rows = [(k, "big" if k < 90 else "small" if k < 95 else "else" if k < 98 else None, f"t{k}", 10, "x") for k in range(100)]
+    docs = mixing.members(spark.createDataFrame(rows, SIZED))
     targets = spark.createDataFrame([("big", 0.5, 1, 1), ("Small", 0.1, 3, 1), ("none", 0.4, 9, 1)], "source string, target_share double, max_repeats int, tokens int")
     drawn = mixing.draw(docs, targets).collect()
     used = {s: sum(r.tokens * r.uses for r in drawn if r.source == s) for s in ("big", "Small")}
     assert used == {"big": 500, "Small": 100} and {r.uses for r in drawn if r.source == "Small"} == {2}
-    rows, total = mixing.mix_plan(docs, targets)
-    assert total == 1000 and [r[0] for r in rows if r[5] < r[3]] == ["none"]
+    plan, total = mixing.mix_plan(docs, targets)
+    assert total == 1000 and [r[0] for r in plan if r[5] < r[3]] == ["none"]
     assert mixing.draw(docs.limit(0), targets).count() == 0
     with pytest.raises(ValueError):
         mixing.mix_plan(docs, targets.union(targets))
 
 
+def test_overlap_leaves_shared_texts_to_who_needs_them(spark):
+    # Half of big's texts are all that small has: big takes its other half and no text is used twice.
+    rows = [(k, "big", f"t{k}", 10, "x") for k in range(20)] + [(100 + k, "small", f"t{k}", 10, "x") for k in range(10)] + [(200, None, "t0", 10, "x"), (201, "big", None, 0, "x"), (202, "small", None, None, "x")]
+    docs = mixing.members(spark.createDataFrame(rows, SIZED))
+    assert {r.doc_id: r.sources for r in docs.collect()}[0] == ["big", "small"] and {r.doc_id: r.sources for r in docs.collect()}[201] == ["big"]
+    targets = spark.createDataFrame([("big", 100 / 310, 3), ("small", 100 / 310, 3)], "source string, target_share double, max_repeats int")
+    plan = {r[0]: r[6] for r in mixing.mix_plan(docs, targets)[0]}
+    assert plan == {"big": {("big",): 100}, "small": {("big", "small"): 100}}
+    drawn = mixing.draw(docs, targets).collect()
+    assert sorted(r.doc_id for r in drawn) == [*range(10, 20), *range(100, 110)] and {r.uses for r in drawn} == {1}
+    report = {r.source: r for r in mixing.shares(mixing.draw(docs, targets), docs, targets).collect()}
+    assert report["small"].drawn_tokens == 100 and report["big"].share_of_mixture == 0.5
+
+
 def test_source_names(spark):
     df = spark.createDataFrame([("Guide Site",), (" guide-site",), ("GUIDE_SITE ",), (None,)], "s string")
     assert [r[0] for r in df.select(mixing.source_key("s")).collect()] == ["guide_site"] * 3 + [None]
