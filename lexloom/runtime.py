@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 T = TypeVar("T")
 _written: dict[str, SparkSession] = {}
 _pinned: set[str] = set()
+_local: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,9 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        where = tempfile.mkdtemp(prefix="lexloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
+        app = spark.sparkContext.applicationId
+        where = _local.get(app) or _local.setdefault(app, tempfile.mkdtemp(prefix="lexloom-"))
     return where.rstrip("/")
 
 
