@@ -18,10 +18,14 @@ from lexloom.runtime import materialize, partitions
 PID = "_range"
 
 
-def range_layout(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None) -> DataFrame:
-    """``df`` with its range number in ``_range``; ``keys + order`` must order the rows totally."""
+def range_layout(df: DataFrame, keys: list[str], order: list[str], ranges: int | None = None, ready: bool = False) -> DataFrame:
+    """``df`` with its range number in ``_range``; ``keys + order`` must order the rows totally.
+
+    The ranges' bounds are sampled before the rows are spread, so ``df`` is read twice; it is written as a
+    table first, unless it is ``ready``: a table itself, or as cheap as one."""
     n = ranges or partitions(df.sparkSession)
     cols = [F.col(c) for c in [*keys, *order]]
+    df = df if ready else materialize(df, "unranged")
     return materialize(df.repartitionByRange(n, *cols).withColumn(PID, F.spark_partition_id()), "ranges")
 
 
