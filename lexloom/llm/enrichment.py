@@ -127,7 +127,7 @@ def enrich(postings: DataFrame, alpha: float = 0.05) -> DataFrame:
     cases = full.groupBy(*case).agg(F.count(F.lit(1)).alias("_same"))
     scored = materialize(cases.withColumn("log_p", tail(*case)), "tails")
     order = ["log_p", *case]
-    ranked = running_sum(range_layout(scored, [], order), [], order, F.col("_same"), "_rank")
+    ranked = running_sum(range_layout(scored, [], order, ready=True), [], order, F.col("_same"), "_rank")
     raised = ranked.withColumn("_q", F.least(F.lit(0.0), F.col("log_p") + F.log(F.lit(float(max(rows, 1)))) - F.log(F.col("_rank").cast("double"))))
     adjusted = following_min(materialize(raised, "ranked"), [], order, F.col("_q"), "log_q").select(*case, "_same", "log_p", "log_q")
     got = skew_join(full, materialize(adjusted, "adjusted"), case, rows=rows, size="_same")

@@ -181,7 +181,7 @@ def draw(sized: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
     docs = skew_join(docs, flows, ["pattern", "source"]).withColumn("_at", F.xxhash64("doc_id", "source", F.lit(seed))).drop("source").withColumnRenamed("name", "source")
     order = ["_at", "doc_id"]
     docs = materialize(docs.select("source", F.concat_ws("\u0001", "pattern").alias("pattern"), "flow", "doc_id", "tokens", "_at"), "drawn")
-    laid = range_layout(docs, ["source", "pattern"], order)
+    laid = range_layout(docs, ["source", "pattern"], order, ready=True)
     whole = laid.groupBy("source", "pattern").agg(F.sum("tokens").alias("held"), F.count(F.lit(1)).alias("_n"))
     got = materialize(running_sum(laid, ["source", "pattern"], order, F.col("tokens"), "upto"), "upto")
     got = skew_join(got, whole, ["source", "pattern"], size="_n")

@@ -42,7 +42,7 @@ def net_flows(items: DataFrame, group: list[str], item: list[str], scores: dict[
     keys = [*group, "_by"]
     counts = materialize(long.groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_same")), "values")
     sizes = counts.groupBy(*keys).agg(F.sum("_same").alias("_size"), F.count(F.lit(1)).alias("_values"))
-    upto = running_sum(range_layout(counts, keys, ["_value"]), keys, ["_value"], F.col("_same"), "_upto")
+    upto = running_sum(range_layout(counts, keys, ["_value"], ready=True), keys, ["_value"], F.col("_same"), "_upto")
     placed = skew_join(materialize(upto.select(*keys, "_value", "_same", "_upto"), "places"), sizes, keys, size="_values")
     # Places are twice the middle rank, so the whole scale is twice the size less one.
     place = 2 * F.col("_upto") - F.col("_same") + 1
@@ -54,7 +54,7 @@ def net_flows(items: DataFrame, group: list[str], item: list[str], scores: dict[
     )
     spread = placed.select(*keys, "_value", place.cast("double").alias("_place"), "_size", F.explode(points).alias("_p")).select(*keys, "_value", "_place", "_size", "_p.*")
     order = ["_at", "_ask", "_value"]
-    laid = range_layout(materialize(spread, "points"), keys, order)
+    laid = range_layout(spread, keys, order)
     summed = running_sum(running_sum(laid, keys, order, F.col("_n"), "_count"), keys, order, F.col("_sum"), "_total")
     at = lambda k, c: F.max(F.when(F.col("_ask") == k, F.col(c).cast("double")))
     wide = summed.where("_ask > 0").groupBy(*keys, "_value").agg(F.max("_place").alias("_place"), F.max("_size").alias("_size"), *[at(k, c).alias(f"{c}{k}") for k in (1, 2, 3, 4) for c in ("_count", "_total")])

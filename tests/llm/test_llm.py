@@ -183,13 +183,21 @@ def test_page_differencing_shared_sentences(spark):
 
 def test_common_is_longest():
     rng = random.Random(2)
-    for _ in range(100):
-        a, b = ([rng.choice("abcd") for _ in range(rng.randint(0, 8))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 9))] for _ in range(2))
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
-                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert len(pagediff.common(a, b)) == best[-1][-1]
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y and x else max(best[i][j + 1], best[i + 1][j])
+        got = pagediff.common(a, b)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] != 0 for i, j in got)
+        assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
+
+
+def test_differencing_decides():
+    text = "Home\nDocs\nTitle A\n\nA long sentence of its own stands here.\nAll rights reserved by cookies."
+    assert pagediff.boilerplate(text, "/a/title-a", "Title A", {}, 20) == []
+    assert pagediff.boilerplate(text, "/a/title-a", "Title A", {0: 20, 1: 20, 5: 20}, 20) == [0, 1, 5]
 
 
 ITEMS = "item_kind string, item_id string, text string, heading string, words_limit int, words_overlap int, extra int"
