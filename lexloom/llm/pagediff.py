@@ -63,22 +63,27 @@ def line_keys(content: str) -> list[int]:
     return out
 
 
-def common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Places in ``a`` and ``b`` of a longest common subsequence; zeros take no part.
+def places(keys: list[int]) -> dict[int, list[int]]:
+    """Where each line stands, from the last place to the first; zeros take no part."""
+    out: dict[int, list[int]] = {}
+    for j in range(len(keys) - 1, -1, -1):
+        if keys[j]:
+            out.setdefault(keys[j], []).append(j)
+    return out
+
+
+def common(a: list[int], where: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """Places in ``a`` and in another page (``where``: its ``places``) of a longest common subsequence.
 
     Pairs of equal lines are run through once, keeping for every length the chain that ends earliest in
-    ``b``, so the work grows with the pairs and not with the lines (Hunt and Szymanski).
+    the other page, so the work grows with the pairs and not with the lines (Hunt and Szymanski).
     """
-    where: dict[int, list[int]] = {}
-    for j, s in enumerate(b):
-        if s:
-            where.setdefault(s, []).append(j)
-    ends: list[int] = []  # by length, the least last place in b
+    ends: list[int] = []  # by length, the least last place in the other page
     cells: list[int] = []  # by length, the step that reached it
     steps: list[tuple[int, int, int]] = []
     for i, s in enumerate(a):
-        for j in reversed(where.get(s, ())):
-            n = bisect_left(ends, j)
+        for j in where.get(s, ()):
+            n = len(ends) if not ends or ends[-1] < j else bisect_left(ends, j)
             steps.append((i, j, cells[n - 1] if n else -1))
             ends[n : n + 1] = [j]
             cells[n : n + 1] = [len(steps) - 1]
@@ -103,6 +108,8 @@ class Page:
         self.names = {_slug(slug), _slug(re.sub(r"-[^-]*$", "", slug)), _slug(visible_lines(title)[0] if title else "")} - {""}
         self.code = self._code()
         self.boxes, self.around = self._boxes()
+        self.sentences = {k for k in self.texts if _END.search(self.seen[k]) and len(self.seen[k].split()) >= SENTENCE}
+        self.prose = {k for k in self.sentences if k not in self.code and not self.site(k)}
 
     def _code(self) -> set[int]:
         out, deep, fenced = set(), 0, False
@@ -136,7 +143,7 @@ class Page:
         return boxes, around
 
     def sentence(self, k: int) -> bool:
-        return bool(_END.search(self.seen[k])) and len(self.seen[k].split()) >= SENTENCE
+        return k in self.sentences
 
     def site(self, k: int, share: float = SITE) -> bool:
         """Whether so many near pages have the line that it is the site's; one page alone shows that only
@@ -145,7 +152,7 @@ class Page:
 
     def own(self, k: int) -> bool:
         """A sentence of the page's own prose."""
-        return k not in self.code and self.sentence(k) and not self.site(k)
+        return k in self.prose
 
     def titled(self, k: int) -> bool:
         return _slug(self.seen[k]) in self.names and not _CRUMB.search(self.seen[k])
@@ -161,7 +168,7 @@ class Page:
         return self.lines[k - 1] if k else "", self.lines[k + 1] if k + 1 < len(self.lines) else ""
 
     def weight(self, ks: list[int]) -> int:
-        return sum(len(self.seen[k]) for k in ks if self.own(k))
+        return sum(len(self.seen[k]) for k in ks if k in self.prose)
 
 
 def _shared_boxes(p: Page) -> set[int]:
@@ -213,9 +220,11 @@ def _opening(p: Page, left: list[int], first: int) -> int:
 def boilerplate(content: str, path: str, title: str | None, shared: dict[int, int], met: int) -> list[int]:
     """Numbers of the visible lines that are not of the main body. ``shared``: in how many of the ``met``
     pages that it was held against a line has its match. Without shared lines there are none."""
+    if not shared:
+        return []
     p = Page(content, path, title, shared, met)
     out = _shared_boxes(p)
-    if not p.texts or not shared:
+    if not p.texts:
         return []
     out |= _outside_frames(p, out)
     left = [k for k in p.texts if k not in out]
@@ -288,13 +297,15 @@ def differenced(documents: DataFrame, near: int = NEAR) -> DataFrame:
                         done(window.popleft())
                     at = row.part, row.host
                 page = [row, row.keys.tolist(), {}, 0]
+                where, mine = places(page[1]), page[2]
                 for other in window:
                     if row.own or other[0].own:
                         other[3] += 1
                         page[3] += 1
-                        for i, j in common(other[1], page[1]):
-                            other[2][i] = other[2].get(i, 0) + 1
-                            page[2][j] = page[2].get(j, 0) + 1
+                        theirs = other[2]
+                        for i, j in common(other[1], where):
+                            theirs[i] = theirs.get(i, 0) + 1
+                            mine[j] = mine.get(j, 0) + 1
                 window.append(page)
                 if len(window) > near:
                     done(window.popleft())

@@ -189,7 +189,7 @@ def test_common_is_longest():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y and x else max(best[i][j + 1], best[i + 1][j])
-        got = pagediff.common(a, b)
+        got = pagediff.common(a, pagediff.places(b))
         assert len(got) == best[-1][-1] and all(a[i] == b[j] != 0 for i, j in got)
         assert all(i < k and j < m for (i, j), (k, m) in zip(got, got[1:], strict=False))
 
@@ -365,10 +365,15 @@ def test_reading(spark):
     rows += [(1000, None, "en", "x"), (1001, "", None, "x"), (1002, "```\ncode here.\n```\n- item one.\n| a | b |", "en", "x"), (1003, "Der Satz ist kurz. " * 3, "de", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, grade string")
     got = {r.doc_id: r for r in reading.graded(df).collect()}
-    assert len(got) == len(rows) and got[1000].words == got[1001].words == got[1002].words == 0 and got[1000].grade is None and got[1003].grade is not None
+    assert len(got) == len(rows) and got[1000].words == got[1001].words == got[1002].words == 0 and got[1000].grade is None and got[1003].grade is None and got[1003].words == 12
     band = {r.doc_id: r.reading_band for r in reading.banded(reading.graded(df)).collect()}
     assert band == {k: {0: "easy", 2: "hard"}[k % 3] for k in range(240) if k % 3 != 1}
+    # The formula labels the sample only: the models alone place every text.
+    assert {r.doc_id for r in reading.banded(reading.graded(df).withColumn("formula_grade", F.lit(None).cast("double"))).collect()} == set(band)
+    rare = df.unionByName(spark.createDataFrame([(2000 + k, "Der Satz ist kurz. " * (1 + k % 3) + "Mit mehr Worten steht dahinter ein anderer Satz.", f"l{k}", "x") for k in range(30)], df.schema))
+    assert all(r.grade is not None for r in reading.graded(rare).where("doc_id >= 2000").collect())
     assert reading.graded(df.limit(0)).count() == 0
+    assert reading.prose("Title\n\nOne line goes\non here. And ends\nthere. Rest\n\n- item.\nSee /a/b/c now.") == ["One line goes on here. And ends there.", "See   now."]
 
 
 def test_isotonic_rises():
