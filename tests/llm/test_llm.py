@@ -142,6 +142,58 @@ def test_style_tree_and_edges(spark):
     assert markup.cleaned(df.limit(0)).count() == 0
 
 
+def test_style_tree_matches_brute_force(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(24):
+        menu = "".join(f"<p>{w}</p>" for w in ("Home", "Docs", "Help")[: rng.choice([3, 3, 2])])
+        side = f"<section class='s'><p>{rng.choice(['Try it', 'Join us'])}</p><div class='d'>{rng.choice(['', 'x'])}<p>Foot</p></div></section>"
+        own = "".join(f"<p>{rng.randint(0, 3)} words {rng.choice('abcdefgh') * 3}</p>" for _ in range(rng.randint(1, 3)))
+        rows.append((f"p{k}", f"h{k % 2}", f"<!-- {'long ' * 900} --><html><body><nav>{menu}</nav><main>{own}</main>{side if k % 5 else ''}</body></html>"))
+    parsed = [(i, h, {path: (parent, inner, set(said)) for path, parent, _, inner, said in markup.contents(markup.tree(c))}) for i, h, c in rows]
+    want = {}
+    for host in ("h0", "h1"):
+        pages = [p for _, h, p in parsed if h == host]
+        held = {path: [p[path] for p in pages if path in p] for path in {x for p in pages for x in p}}
+        children: dict = {}
+        for path, own in held.items():
+            children.setdefault(own[0][0], []).append(path)
+
+        def weigh(path, held=held, children=children):
+            m = len(held[path])
+            looks = [x[1] for x in held[path]]
+            shares = [looks.count(x) / m for x in set(looks)]
+            base = math.log(m) if m > 1 else 0
+            look = -sum(s * math.log(s) for s in shares) / base if base else 1.0
+            texts = {t for x in held[path] for t in x[2]}
+            said = 1 - sum(math.log(sum(t in x[2] for x in held[path])) for t in texts) / (len(texts) * base) if texts and base else 0.0
+            own = 1.0 if m < 5 else max(look, said)
+            inner = [(len(held[c]), *weigh(c)) for c in children.get(path, [])]
+            if not inner:
+                return own, own
+            fade = 0.9 ** len(shares)
+            got = own if m < 5 else (1 - fade) * own + fade * sum(n * c for n, c, _ in inner) / sum(n for n, _, _ in inner)
+            return got, max(got, *(t for _, _, t in inner))
+
+        dull = {path for path in held if len(held[path]) >= 5 and weigh(path)[1] < 0.2}
+        for i, h, p in parsed:
+            if h == host:
+                want[i] = sorted(x for x in p if x in dull and p[x][0] not in dull)
+    df = spark.createDataFrame(rows, "id string, host string, content string")
+    got = {r.id: sorted(r.dull) for r in markup.style_tree(df).collect()}
+    assert got == {i: w for i, w in want.items() if w} and any("nav" in x for w in got.values() for x in w)
+
+
+def test_deep_and_odd_markup():
+    deep = "<html><body>" + "<div>" * 3000 + "core" + "</div>" * 3000 + "</body></html>"
+    assert markup.clean(deep) == ("core", ["html"])
+    nested = "\\textbf{" * 9 + "x" + "}" * 9
+    assert markup.clean(nested) == ("x", ["latex"])
+    assert markup.clean("\\item one\n<li>two\n\x02\x04 three")[0] == "- one\n\n- two\n three"
+    assert markup.is_page("  <?xml version='1'?><!-- " + "c" * 5000 + " --><HTML><p>x") and not markup.is_page("Use <body> here")
+    assert markup.clean("see https://a.example/*x*_y_ and C:\\new\\*a*")[1] == []
+
+
 def test_page_differencing(spark):
     nav, foot = ["Home", "Docs", "Search the docs"], ["Back to top", "© 2020 Site. All rights reserved."]
     rows = [(f"p{k}", f"https://docs.site.example/a/page-{k:02}", f"Title {chr(65 + k)}", "\n".join([*nav, f"Title {chr(65 + k)}", "", f"A long sentence of its own for page {chr(65 + k)} stands here.", "Limits", "", f"Another one {'x' * k} ends it.", *foot]), None, "h") for k in range(10)]
