@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.multiindex import usable
+from lexloom.llm.multiindex import cosine_of, usable
 from lexloom.operators.scan import range_layout, running_sum
 from lexloom.operators.skew import skew_join
 from lexloom.runtime import materialize
@@ -80,14 +80,14 @@ def candidates(scores: DataFrame, queries: DataFrame, vectors: DataFrame) -> Dat
     known = scores.where("query_id IS NOT NULL AND corpus IS NOT NULL AND chunk IS NOT NULL")
     last = lambda p: F.max(F.when(F.col("profile") == p, F.struct("scored_at", "score")))["score"]
     wide = known.groupBy(*keys).agg(last("default").alias("score_default"), last("title_boost").alias("score_title_boost"))
-    own = usable(vectors).groupBy("corpus", "chunk").agg(F.max(F.struct("written_at", "vec_id", "unit"))["unit"].alias("_unit"))
+    wide = materialize(wide, "scored")
+    named = vectors.join(wide.select("corpus", "chunk").distinct(), ["corpus", "chunk"], "left_semi")
+    own = usable(named).groupBy("corpus", "chunk").agg(F.max(F.struct("written_at", "vec_id", "unit"))["unit"].alias("_unit"))
     asked = queries.where("query_id IS NOT NULL").groupBy("query_id").agg(F.max(F.struct("asked_at", "query_values"))["query_values"].alias("_asked"))
-    full = skew_join(wide, asked, ["query_id"], "left")
-    full = skew_join(full, own, ["corpus", "chunk"], "left")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(dot(F.col("_asked"), F.col("_asked")))
-    cosine = F.when((F.size("_asked") == F.size("_unit")) & (norm > 0), dot(F.col("_asked"), F.col("_unit")) / norm)
-    return full.select(*keys, "score_default", "score_title_boost", cosine.alias("cosine"))
+    held = wide.groupBy("query_id").agg(F.count(F.lit(1)).alias("_held"))
+    full = skew_join(wide, held.join(asked, "query_id", "left"), ["query_id"], "left", size="_held")
+    full = skew_join(materialize(full, "asked"), own, ["corpus", "chunk"], "left")
+    return full.select(*keys, "score_default", "score_title_boost", cosine_of("_asked", "_unit").alias("cosine"))
 
 
 def rank_candidates(cands: DataFrame) -> DataFrame:

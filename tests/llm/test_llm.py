@@ -294,7 +294,7 @@ def test_multi_index_recall_and_edges(spark):
     rows = [(k, "c", k, "f32", 16, None, x.tolist(), None, 0) for k, x in enumerate(v)] + [(9000 + k, "c", k, "f32", 16, None, v[7].tolist(), None, 0) for k in range(500)]
     bad = [(8001, "c", 1, "f32", 16, None, None, None, 0), (8002, "c", 1, "f32", 16, None, [1.0], None, 0), (8003, "c", 1, "f32", 16, None, [0.0] * 16, None, 0), (8004, "c", 1, "f32", 16, None, [float("nan")] * 16, None, 0), (None, "c", 1, "f32", 16, None, [1.0] * 16, None, 0), (8005, "c", 1, "f32", 1, None, [2.0], None, 0)]
     df = spark.createDataFrame(rows + bad, VECS)
-    got = {r.vec_id: r for r in multiindex.knn(df, F.col("vec_id") % 20 == 0, 10, 0.3).collect()}
+    got = {r.vec_id: r for r in multiindex.knn(df, F.col("vec_id") % 20 == 0, 10, 0.1).collect()}
     assert set(got) == {k for k in [*range(1500), *range(9000, 9500)] if k % 20 == 0} | ({8005} if 8005 % 20 == 0 else set())
     u = v / np.linalg.norm(v, axis=1)[:, None]
     hit = total = 0
@@ -311,10 +311,31 @@ def test_multi_index_recall_and_edges(spark):
 
 def test_visit_goes_by_distance():
     rng = np.random.default_rng(0)
-    a, b = rng.random(6), rng.random(5)
-    cells = multiindex.visit(a, b, np.ones((6, 5), dtype=int), 30)
-    sums = [a[i] + b[j] for i, j in cells]
-    assert len(set(cells)) == 30 and sums == sorted(sums)
+    for _ in range(30):
+        a, b = rng.random(6), rng.random(5)
+        cells = sorted({(int(i), int(j)) for i, j in zip(rng.integers(0, 6, 14), rng.integers(0, 5, 14), strict=True)})
+        starts = np.searchsorted([i for i, _ in cells], np.arange(7))
+        held = rng.integers(1, 4, len(cells))
+        enough = rng.integers(1, held.sum() + 3)
+        got = multiindex.visit(a, b, starts, np.array([j for _, j in cells]), held, enough)
+        order = sorted(range(len(cells)), key=lambda c: a[cells[c][0]] + b[cells[c][1]])
+        n = next((k for k in range(1, len(order) + 1) if held[order[:k]].sum() >= enough), len(order))
+        assert got == order[:n]
+
+
+def test_pairs_within_match_brute_force(spark):
+    rng = np.random.default_rng(7)
+    v = rng.normal(size=(700, 12))
+    v = np.concatenate([v, v[:150] + 0.25 * rng.normal(size=(150, 12)), np.tile(v[3], (40, 1))]).astype(np.float32)
+    rows = [(k, "c", k, "f32", 12, None, x.tolist(), None, 0) for k, x in enumerate(v)]
+    df = spark.createDataFrame(rows, VECS)
+    u = v.astype(np.float64) / np.linalg.norm(v.astype(np.float64), axis=1)[:, None]
+    s = u @ u.T
+    for least in (0.95, 0.7):
+        want = {(a, b) for a, b in zip(*np.nonzero(s >= least), strict=True) if a < b}
+        assert {tuple(r) for r in multiindex.similar_pairs(df, least).collect()} == want and len(want) > 700
+    links, members = multiindex.similar_classes(df, 0.95)
+    assert members.where("class_id = 3").count() == 41 and links.where("class_a = 3 OR class_b = 3").count() < 10
 
 
 def test_token_counts():
