@@ -284,6 +284,31 @@ def test_splitting_round_trip(spark, chars, span):
     assert splitter.pieces(df.limit(0), chars, span).count() == 0
 
 
+def test_splitting_files_by_bytes(spark, tmp_path):
+    rng = random.Random(4)
+    texts = {f"f{k}": " ".join(rng.choice(["alpha", "größe", "日本語", "end.", "so!\u201d", "line\n", "par\n\n", "# Köpfe\n", "\u00a0"]) for _ in range(n)) for k, n in enumerate((900, 300, 30, 5))}
+    for name, t in texts.items():
+        (tmp_path / name).write_bytes(t.encode())
+    (tmp_path / "empty").write_text("")
+    df = spark.createDataFrame([("file", name, t, None, 20, 5, 1) for name, t in texts.items()], ITEMS)
+    want = sorted((r.item_id, r.piece_ix, r.heading, r.start_word, r.new_word, r.end_word, r.cut, r.piece) for r in splitter.pieces(df).collect())
+    for size, span in ((97, 1), (1000, 200), (65_536, 500_000)):
+        got = sorted((r.item_id.rsplit("/", 1)[1], r.piece_ix, r.heading, r.start_word, r.new_word, r.end_word, r.cut, r.piece) for r in splitter.file_pieces(spark, str(tmp_path), 20, 5, size, span).collect())
+        assert [x[:4] for x in got] == [x[:4] for x in want] and got == want if span > 1000 else [x[0] for x in got] and {x[0] for x in got} == {x[0] for x in want}
+    white = re.compile(f"[{splitter.WHITE}]+")
+    for name, t in texts.items():
+        new = [w for r in got if r[0] == name for w in [w for w in white.split(r[7]) if w][r[4] - r[3] :]]
+        assert new == ([w for w in white.split(t) if w] if len([w for w in white.split(t) if w]) > 20 else [])
+
+
+def test_span_without_boundary(spark):
+    text = "Start here. " + "word " * 500 + "x " * 500 + "end. " + "Tail is here. " * 40
+    df = spark.createDataFrame([("t", "a", text, None, 600, 60, 1)], ITEMS)
+    one = splitter.pieces(df).collect()
+    many = splitter.pieces(df, 64, 1).collect()
+    assert "forced" in {r.cut for r in one} and "forced" in {r.cut for r in many}
+
+
 VECS = "vec_id long, corpus string, chunk long, dtype string, dimensions int, quant_scale float, vector_values array<float>, written_at timestamp, unit int"
 
 
