@@ -87,6 +87,19 @@ def chunk_id(document_id: Column, heading: Column, offset: Column) -> Column:
     return F.substring(F.sha2(parts, 256), 1, 16)
 
 
+def xxh64(text: Column) -> Column:
+    """The 64-bit xxHash (seed 0) of a text's UTF-8 bytes as 16 hex digits. Spark's own function has another
+    seed, so the hash is made in Python, batch by batch; null stays null."""
+
+    @F.pandas_udf("string")
+    def digest(texts: pd.Series) -> pd.Series:
+        import xxhash
+
+        return pd.Series([None if t is None else xxhash.xxh64_hexdigest(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+    return digest(text)
+
+
 def embedding_text(title: Column, heading: Column, content: Column) -> Column:
     return F.concat_ws("\n", F.coalesce(title, F.lit("")), F.coalesce(heading, F.lit("")), F.coalesce(content, F.lit("")))
 

@@ -90,7 +90,12 @@ def build_index(chunks: DataFrame, analyzer: Analyzer = Analyzer(), keep: tuple[
     table. Null fields count as empty. An empty table gives an empty index.
     """
     chunks = materialize(chunks, "chunks")
-    counted = materialize(postings_of(field_terms(chunks, analyzer)), "counted")
+    return assemble(chunks, materialize(postings_of(field_terms(chunks, analyzer)), "counted"), analyzer, keep)
+
+
+def assemble(chunks: DataFrame, counted: DataFrame, analyzer: Analyzer = Analyzer(), keep: tuple[str, ...] = ()) -> Index:
+    """The index of chunks whose words are counted: ``counted(corpus, term, chunk_ix, tf_*)``. Both are tables
+    of ``materialize``; that of the counts is given up."""
     lengths = materialize(lengths_of(counted, chunks), "lengths")
     postings = materialize(counted.join(lengths, ["corpus", "chunk_ix"]).select(*POSTING), "postings")
     release(counted)
@@ -147,6 +152,27 @@ def read_index(spark, path: str) -> Index:
     return Index(read("chunks"), read("postings"), read("dictionary"), read("lengths"), read("stats"), read("content") if m.has_content else None, read("vectors") if m.has_vectors else None, Analyzer(m.folding, m.stemmer))
 
 
+def write_index_v1(postings: DataFrame, lengths: DataFrame, chunks: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
+    """The unfielded format: postings(corpus, term, chunk_ix, tf) sorted by term, lengths, the chunks whole, and
+    vectors in single precision."""
+    spark = postings.sparkSession
+    postings.repartitionByRange("corpus", "term").sortWithinPartitions("corpus", "term", "chunk_ix").write.mode("overwrite").parquet(f"{path}/lexical")
+    lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    chunks.write.mode("overwrite").parquet(f"{path}/metadata")
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    spark.createDataFrame([(1, vectors is not None)], "version int, has_vectors boolean").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_index_v1(spark, path: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """Postings, lengths, chunks and vectors of ``write_index_v1``; ``search.unfielded`` ranks over them."""
+    m = spark.read.schema("version int, has_vectors boolean").json(f"{path}/manifest").first()
+    if m is None or m.version != 1:
+        raise ValueError(f"no index of format 1 at {path}")
+    read = lambda n: spark.read.parquet(f"{path}/{n}")
+    return read("lexical"), read("lengths"), read("metadata"), read("vectors") if m.has_vectors else None
+
+
 def with_vectors(index: Index, vectors: DataFrame) -> Index:
     return replace(index, vectors=vectors)
 
@@ -160,6 +186,9 @@ def index_faults(index: Index) -> DataFrame:
         "repeated posting": p.groupBy("corpus", "term", "chunk_ix").count().where("count > 1"),
         "posting of an unknown chunk": p.join(index.lengths.select("corpus", "chunk_ix"), ["corpus", "chunk_ix"], "left_anti"),
         "document frequency unlike postings": dictionary_of(p).join(index.dictionary.withColumnRenamed("df", "stored"), ["corpus", "term"], "full").where(~F.col("df").eqNullSafe(F.col("stored"))),
+        "term without text": index.dictionary.where("term IS NULL OR length(term) < 1"),
+        "repeated term": index.dictionary.groupBy("corpus", "term").count().where("count > 1"),
+        "posting with a negative frequency": p.where("tf_title < 0 OR tf_heading < 0 OR tf_body < 0"),
         "repeated chunk": index.chunks.groupBy("corpus", "chunk_ix").count().where("count > 1"),
     }
     if index.vectors is not None:

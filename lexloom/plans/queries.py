@@ -6,6 +6,7 @@ the shared folder; queries read it from there.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -13,11 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions import highlight, scoring, text
-from lexloom.operators import chunking, evaluate, search, synthetic, vectors
+from lexloom.operators import chunking, evaluate, runner, search, synthetic, vectors
 from lexloom.operators.filters import matches
-from lexloom.operators.index import Index, build_index, index_faults, index_of_postings, number_chunks, number_documents, unfielded_postings
+from lexloom.operators.index import Index, build_index, index_faults, index_of_postings, number_chunks, number_documents, read_index, read_index_v1, unfielded_postings, write_index, write_index_v1
 from lexloom.operators.search import Options
-from lexloom.runtime import materialize, pinned, scoped, shared_dir, table
+from lexloom.plans import config
+from lexloom.runtime import delete, materialize, pinned, scoped, shared_dir, table
 from lexloom.sources import documents as sources
 from lexloom.sources import store
 
@@ -405,36 +407,114 @@ def synthetic_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_sections(spark: SparkSession, d: str) -> DataFrame:
-    pages = table(spark, d, "search_document").where(F.col("url").startswith("http") & F.col("content").startswith("<!doctype"))
+    pages = table(spark, d, "search_document").where(F.col("url").rlike("(?i)^https?://") & F.col("content").rlike(r"(?i)^\s*<(!doctype\s+html|html|head|body)[\s>]"))
     return sources.html_sections(pages.select("id", F.col("content").alias("html")).distinct()).select("id", "title", "section_ix", "heading", "section")
 
 
 def content_shards(spark: SparkSession, d: str) -> DataFrame:
     c = built(spark, d).content.withColumn("bytes", F.octet_length("content"))
-    return store.pack_shards(c.select("corpus", "chunk_ix", "bytes"), ["corpus", "chunk_ix"], "bytes").groupBy("part", "shard").agg(F.count(F.lit(1)).alias("chunks"), F.sum("bytes").alias("bytes"))
+    packed = store.pack_shards(c.select("corpus", "chunk_ix", "bytes"), ["corpus", "chunk_ix"], "bytes")
+    return packed.groupBy("corpus", "shard").agg(F.count(F.lit(1)).alias("chunks"), F.sum("bytes").cast("long").alias("bytes"))
+
+
+def _passing(spark: SparkSession, name: str, use: Callable[[str], DataFrame]) -> DataFrame:
+    """What ``use`` makes with a folder of its own, which is deleted once that is a table."""
+    root = f"{shared_dir(spark)}/lexloom-{name}-{uuid.uuid4().hex}"
+    try:
+        return materialize(use(root), name)
+    finally:
+        delete(spark, root)
 
 
 def index_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Writes the index, reads it back and searches it: the same rows as the flagship query."""
-    from lexloom.operators.index import read_index, write_index
 
-    path = f"{shared_dir(spark)}/lexloom-index-{abs(hash((spark.sparkContext.applicationId, d)))}"
-    write_index(built(spark, d), path)
-    return _page(search.search(read_index(spark, path), asked(spark, d), Options(max_expansions=0)))
+    def use(root: str) -> DataFrame:
+        write_index(built(spark, d), root)
+        return _page(search.search(read_index(spark, root), asked(spark, d), Options(max_expansions=0)))
 
+    return _passing(spark, "index", use)
+
+
+def index_v1_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the unfielded format, reads it back and ranks over it: the same rows as ``bm25_v1``."""
+
+    def use(root: str) -> DataFrame:
+        cut = chunk_table(spark, d)
+        write_index_v1(*unfielded_postings(cut), cut, root)
+        p, n, _, _ = read_index_v1(spark, root)
+        return search.unfielded(p, n, asked(spark, d)).select("query_id", "corpus", "chunk_ix", _num("score").alias("score"), F.concat_ws(" ", "terms").alias("terms"))
+
+    return _passing(spark, "v1", use)
+
+
+def v1_v2_same_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Where one field holds all words the formats rank alike: for the chunks' contents alone, the score of both."""
+    cut = materialize(chunk_table(spark, d).withColumns({"title": F.lit(None).cast("string"), "heading": F.lit(None).cast("string")}), "bare")
+    q = asked(spark, d).withColumn("text", F.concat("text", F.lit(" ")))
+    q = q.withColumn("text", F.array_join(F.array_distinct(text.tokenize(F.col("text"))), " ")).withColumn("text", F.concat("text", F.lit(" ")))
+    two = search.lexical(build_index(cut, text.Analyzer(folding=False)), q, Options(max_expansions=0)).select("query_id", "corpus", "chunk_ix", _num("lexical_score").alias("score_v2"))
+    one = search.unfielded(*unfielded_postings(cut), q).select("query_id", "corpus", "chunk_ix", _num("score").alias("score_v1"))
+    return one.join(two, ["query_id", "corpus", "chunk_ix"], "full")
+
+
+def _config(spark: SparkSession, d: str) -> dict[str, config.Corpus]:
+    """documents as two corpora by language, with a filter field, a facet field and vectors for one of them."""
+    docs = table(spark, d, "documents")
+    meta = F.map_filter(F.create_map(F.lit("project"), "project", F.lit("source"), "source", F.lit("lang"), "lang"), lambda k, v: v.isNotNull())
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), "title", F.col("text").alias("content"), meta.alias("metadata"), "lang")
+    english, rest = rows.where("lang = 'en'").drop("lang"), rows.where("lang <> 'en' OR lang IS NULL").drop("lang")
+    return {"english": config.Corpus(english, exclude=("/doc/*7",), filters=("lang",), facets=("project",)), "others": config.Corpus(rest, max_words=60, overlap=10, filters=("lang",), vectors=config.Vectors(vectors.hashing_provider(16)))}
 
-def incremental_rebuild(spark: SparkSession, d: str) -> DataFrame:
-    """documents as three waves of files that a stream follows; the postings that count in the end."""
-    import uuid
 
+def build_from_config(spark: SparkSession, d: str) -> DataFrame:
+    """(corpus, documents, chunks, indexed, projects): counts of the manifest, of the index that a searcher opens, and
+    the distinct values of a facet field."""
+
+    def use(root: str) -> DataFrame:
+        config.build(spark, _config(spark, d), root, cache=f"{root}/.cache")
+        found = config.Searcher(spark, root)
+        counts = spark.createDataFrame([(k, v["documents"], v["chunks"]) for k, v in store.read_manifest(spark, root)["corpora"].items()], "corpus string, documents long, chunks long")
+        index = found.index()
+        chunks = index.chunks.groupBy("corpus").agg(F.count(F.lit(1)).alias("indexed"), F.countDistinct("project").alias("projects"))
+        made = index.vectors.groupBy("corpus").agg(F.count(F.lit(1)).alias("vectors"))
+        return counts.join(chunks, "corpus", "left").join(made, "corpus", "left").na.fill(0, ["indexed", "projects", "vectors"])
+
+    return _passing(spark, "config", use)
+
+
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Every title of the chunks as a query, whose documents are relevant."""
+    titled = built(spark, d).chunks.where("title IS NOT NULL AND trim(title) <> ''").select("title", "document_id").distinct()
+    ids = F.xxhash64("title").alias("query_id")
+    return titled.select(ids, F.concat("title", F.lit(" ")).alias("text")).distinct(), titled.select(ids, F.col("document_id").alias("doc_id"))
+
+
+def run_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """(candidate, mode, recall, rr, ndcg) of title queries under three candidates."""
+    q, j = _judged(spark, d)
+    plain = {"max_expansions": 0}
+    candidates = {"default": runner.Candidate(query=plain), "titles": runner.Candidate(query={**plain, "weights": {"title": 5.0, "heading": 1.0, "body": 0.5}}), "chunks": runner.Candidate(query={**plain, "group_by": "none"})}
+    run, _ = runner.run_candidates(spark, candidates, lambda c: (built(spark, d), ("lexical",)), materialize(q, "asked"), materialize(j, "judged"))
+    return spark.createDataFrame([(r["candidate"], r["mode"], *(round(r[m], 6) for m in ("recall", "rr", "ndcg"))) for r in run["results"]], "candidate string, mode string, recall double, rr double, ndcg double")
+
+
+def incremental_rebuild(spark: SparkSession, d: str) -> DataFrame:
+    """documents as three waves of files that a stream follows; (document_id, term, tf_*) of the index in the end."""
     from lexloom.streaming import incremental
 
-    root = f"{shared_dir(spark)}/lexloom-stream-{uuid.uuid4().hex}"
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("url"), "title", F.col("text").alias("content"), F.lit("docs").alias("corpus"), F.col("ingested_at").alias("updated_at"))
-    for wave in range(3):
-        docs.where(F.pmod(F.col("id").cast("long"), F.lit(3)) <= wave).coalesce(1).write.mode("append").parquet(f"{root}/in")
-        incremental.watch(spark, f"{root}/in", f"{root}/out").awaitTermination()
-    return incremental.current(spark, f"{root}/out").groupBy("document_id").agg(F.count(F.lit(1)).alias("postings"), F.sum(F.col("tf_title") + F.col("tf_heading") + F.col("tf_body")).alias("occurrences"))
+    def use(root: str) -> DataFrame:
+        docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("url"), "title", F.col("text").alias("content"), F.lit("docs").alias("corpus"), F.col("ingested_at").alias("updated_at"))
+        for wave in range(3):
+            # Every wave brings new documents and, as changes, those of the wave before with another title.
+            now, before = docs.where(F.pmod(F.col("id").cast("long"), F.lit(3)) == wave), docs.where(F.pmod(F.col("id").cast("long"), F.lit(3)) == wave - 1)
+            now.unionByName(before.withColumn("title", F.concat(F.lit("Again "), F.coalesce("title", F.lit("untitled"))))).write.mode("append").parquet(f"{root}/in")
+            incremental.watch(spark, f"{root}/in", f"{root}/out", vectors.hashing_provider(16)).awaitTermination()
+        index = incremental.current_index(spark, f"{root}/out")
+        tf = ["tf_title", "tf_heading", "tf_body"]
+        return index.postings.join(index.chunks.select("corpus", "chunk_ix", "document_id"), ["corpus", "chunk_ix"]).groupBy("document_id", "term").agg(*[F.sum(c).cast("int").alias(c) for c in tf])
+
+    return _passing(spark, "stream", use)
 
 
 _MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -500,6 +580,10 @@ _MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_sections": html_sections,
     "content_shards": content_shards,
     "index_round_trip": index_round_trip,
+    "index_v1_round_trip": index_v1_round_trip,
+    "v1_v2_same_ranking": v1_v2_same_ranking,
+    "build_from_config": build_from_config,
+    "run_candidates": run_candidates,
     "incremental_rebuild": incremental_rebuild,
 }
 

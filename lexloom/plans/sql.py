@@ -180,6 +180,83 @@ def _filter(where: str) -> str:
     return f"WITH {_CHUNKS} SELECT corpus, chunk_ix, id FROM ch WHERE {where}"
 
 
+_ASKED = f"SELECT query_id, query_text AS text, {_WORDS.format('query_text')} AS w FROM search_query WHERE query_text IS NOT NULL"
+assert _ASKED in _INDEX
+
+
+def _asking(rows: str) -> str:
+    """The index' tables with the queries of ``rows`` (query_id, text) in place of the stored ones."""
+    return _INDEX.replace(_ASKED, f"SELECT query_id, text, {_WORDS.format('text')} AS w FROM ({rows})")
+
+
+_TYPOS = f"""WITH {_asking("SELECT DISTINCT term AS query_id, left(term, 2) || substring(term, 4, 1) || substring(term, 3, 1) || substring(term, 5) || '.' AS text FROM dict WHERE length(term) >= 8")},
+{_expansion(4)}
+SELECT query_id AS meant, corpus, source, term, distance::INT AS distance, ord FROM exp WHERE kind = 'fuzzy'"""
+
+_SHARDS = f"""WITH RECURSIVE {_CHUNKS},
+c AS MATERIALIZED (SELECT corpus, chunk_ix, coalesce(octet_length(encode(content)), 0)::BIGINT AS bytes FROM ch),
+g AS (
+  SELECT corpus, chunk_ix, 0 AS shard, bytes, bytes AS held FROM c WHERE chunk_ix = 0
+  UNION ALL
+  SELECT c.corpus, c.chunk_ix, g.shard + (g.held > 0 AND g.held + c.bytes > 131072)::INT, c.bytes, CASE WHEN g.held > 0 AND g.held + c.bytes > 131072 THEN c.bytes ELSE g.held + c.bytes END
+  FROM g JOIN c ON c.corpus = g.corpus AND c.chunk_ix = g.chunk_ix + 1)
+SELECT corpus, shard, count(*) AS chunks, sum(bytes)::BIGINT AS bytes FROM g GROUP BY ALL"""
+
+_BOTH = rf"""WITH {_CHUNKS},
+w AS (SELECT corpus, chunk_ix, list_filter(regexp_extract_all(lower(coalesce(content, '')), '[\p{{L}}\p{{N}}]+'), lambda x: length(x) > 1) AS w FROM ch),
+p AS (SELECT corpus, chunk_ix, term, count(*) AS tf FROM (SELECT corpus, chunk_ix, unnest(w) AS term FROM w) GROUP BY ALL),
+d AS (SELECT corpus, term, count(*) AS df FROM p GROUP BY ALL),
+s AS (SELECT corpus, count(*) AS n, avg(len(w)) AS average FROM w GROUP BY ALL),
+q AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest(regexp_extract_all(lower(query_text), '[\p{{L}}\p{{N}}]+')) AS term FROM search_query) WHERE length(term) > 1),
+hits AS (
+  SELECT q.query_id, p.corpus, p.chunk_ix, ln(1 + (s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE AS top, p.tf AS tf, len(w.w) AS l, greatest(s.average, 1) AS a1, greatest(s.average::FLOAT::DOUBLE, 1) AS a2
+  FROM q JOIN p ON p.term = q.term JOIN d ON d.corpus = p.corpus AND d.term = p.term JOIN s ON s.corpus = p.corpus JOIN w ON w.corpus = p.corpus AND w.chunk_ix = p.chunk_ix)
+SELECT query_id, corpus, chunk_ix, round(sum(top / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a1))), 6) AS score_v1, round(sum(top / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / a2))), 6) AS score_v2
+FROM hits GROUP BY ALL"""
+
+_CONFIGURED = rf"""WITH {_SECTIONS},
+kept AS (
+  SELECT doc_id, project, 'english' AS corpus, 180 AS most, 150 AS step FROM documents WHERE lang = 'en' AND doc_id % 10 <> 7
+  UNION ALL SELECT doc_id, NULL, 'others', 60, 50 FROM documents WHERE lang <> 'en' OR lang IS NULL),
+cut AS (
+  SELECT k.corpus, k.project, 1 + ceil(greatest(0, n - most) / step::DOUBLE)::BIGINT AS windows FROM kept k
+  JOIN (SELECT doc_id, len(list_filter(regexp_split_to_array(section, '\s+'), lambda x: x <> '')) AS n FROM secs WHERE section <> '') x ON x.doc_id = k.doc_id WHERE n > 0),
+made AS (SELECT corpus, sum(windows)::BIGINT AS chunks, count(DISTINCT project) AS projects FROM cut GROUP BY corpus)
+SELECT d.corpus, d.documents, coalesce(m.chunks, 0) AS chunks, coalesce(m.chunks, 0) AS indexed, coalesce(m.projects, 0) AS projects, CASE d.corpus WHEN 'others' THEN coalesce(m.chunks, 0) ELSE 0 END AS vectors
+FROM (SELECT corpus, count(*) AS documents FROM kept GROUP BY corpus) d LEFT JOIN made m ON m.corpus = d.corpus"""
+
+
+def _candidate(name: str, title: float, heading: float, body: float, grouped: bool) -> str:
+    weighted = lambda x: f"{title}::DOUBLE * {x}_title + {heading}::DOUBLE * {x}_heading + {body}::DOUBLE * {x}_body"
+    scored = _BM25F.replace("2.0::DOUBLE * tf_title + 1.5::DOUBLE * tf_heading + tf_body", weighted("tf")).replace("2.0::DOUBLE * len_title + 1.5::DOUBLE * len_heading + len_body", weighted("len")).replace("2 * s.avg_title + 1.5::DOUBLE * s.avg_heading + s.avg_body", weighted("s.avg"))
+    once = "QUALIFY row_number() OVER (PARTITION BY query_id, corpus, document_id ORDER BY round(score, 9) DESC, chunk_ix) = 1" if grouped else ""
+    return f"""SELECT '{name}' AS candidate, 'lexical' AS mode, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS rr, round(avg(ndcg), 6) AS ndcg FROM (
+WITH {scored},
+sc AS (SELECT l.query_id, l.corpus, l.chunk_ix, c.id, c.document_id, l.score / max(l.score) OVER (PARTITION BY l.query_id, l.corpus) AS score FROM lex l JOIN ch c ON c.corpus = l.corpus AND c.chunk_ix = l.chunk_ix),
+grp AS (SELECT * FROM sc {once}),
+top AS (SELECT query_id, document_id, min(rank) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, corpus, id) AS rank FROM grp) WHERE rank <= 10 GROUP BY ALL),
+got AS (SELECT j.query_id, count(*) AS h, min(rank) AS first, sum(1 / log2(rank + 1)) AS dcg FROM judged j JOIN top t ON t.query_id = j.query_id AND t.document_id = j.document_id GROUP BY ALL)
+SELECT w.query_id, coalesce(h, 0) / n AS recall, coalesce(1 / first, 0) AS rr, coalesce(dcg, 0) / list_sum(list_transform(range(1, least(10, n) + 1), lambda r: 1 / log2(r + 1))) AS ndcg
+FROM (SELECT query_id, count(*) AS n FROM judged GROUP BY query_id) w LEFT JOIN got g ON g.query_id = w.query_id)"""
+
+
+_CANDIDATES = f"""WITH {_asking("SELECT DISTINCT title AS query_id, title || ' ' AS text FROM ch WHERE trim(title) <> ''")}, {_expansion(0)},
+judged AS MATERIALIZED (SELECT DISTINCT title AS query_id, document_id FROM ch WHERE trim(title) <> '')
+{_candidate("default", 2, 1.5, 1, True)} UNION ALL {_candidate("titles", 5, 1, 0.5, True)} UNION ALL {_candidate("chunks", 2, 1.5, 1, False)}"""
+
+_INCREMENTAL = rf"""WITH {_SECTIONS},
+named AS (
+  SELECT s.doc_id, coalesce(nullif(CASE WHEN s.doc_id % 3 < 2 THEN 'Again ' || coalesce(s.title, 'untitled') ELSE s.title END, ''), first, '/doc/' || s.doc_id) AS title, heading,
+    list_filter(regexp_split_to_array(section, '\s+'), lambda x: x <> '') AS w FROM secs s JOIN titles t ON t.doc_id = s.doc_id WHERE section <> ''),
+cut AS (
+  SELECT doc_id, title, heading, array_to_string(w[k * 150 + 1 : k * 150 + 180], ' ') AS content
+  FROM (SELECT *, unnest(range((1 + ceil(greatest(0, len(w) - 180) / 150.0))::BIGINT)) AS k FROM named WHERE len(w) > 0)),
+fields AS (SELECT doc_id, 'title' AS field, title AS t FROM cut UNION ALL SELECT doc_id, 'heading', heading FROM cut UNION ALL SELECT doc_id, 'body', content FROM cut),
+words AS (SELECT doc_id, field, {_FOLD.format("w")} AS term FROM (SELECT doc_id, field, unnest({_WORDS.format("t")}) AS w FROM fields))
+SELECT doc_id::VARCHAR AS document_id, term, count(*) FILTER (WHERE field = 'title')::INT AS tf_title, count(*) FILTER (WHERE field = 'heading')::INT AS tf_heading, count(*) FILTER (WHERE field = 'body')::INT AS tf_body
+FROM words WHERE length(term) > 1 GROUP BY ALL"""
+
+
 SQL: dict[str, str] = {
     "flagship": _paged(),
     "index_round_trip": _paged(),
@@ -279,4 +356,13 @@ own AS (
     SELECT *, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(heading, '')), '[\p{{L}}\p{{N}}]+') AS h FROM ch))
 SELECT o.corpus, o.chunk_ix, o.term, round(ln(1 + s.n / d.df), 6) AS salience FROM own o JOIN df d ON d.corpus = o.corpus AND d.term = o.term JOIN s1 s ON s.corpus = o.corpus
 QUALIFY row_number() OVER (PARTITION BY o.corpus, o.chunk_ix ORDER BY d.df, o.term) = 1""",
+    "expand_typos": _TYPOS,
+    "content_shards": _SHARDS,
+    "embed_hash_provider": r"SELECT doc_id::VARCHAR AS key, 64 AS dimensions, CASE WHEN regexp_matches(coalesce(text, ''), '\S') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS norm FROM documents",
+    "v1_v2_same_ranking": _BOTH,
+    "build_from_config": _CONFIGURED,
+    "run_candidates": _CANDIDATES,
+    "incremental_rebuild": _INCREMENTAL,
 }
+
+SQL["index_v1_round_trip"] = SQL["bm25_v1"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import PurePosixPath
@@ -11,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexloom.functions.text import route_of_html
+from lexloom.functions.text import glob_regex, route_of_html
 from lexloom.sources import html
+from lexloom.sources.store import write_text
 
 DOCUMENT = "id string, url string, title string, content string, metadata map<string,string>"
 SECTION = "id string, url string, title string, metadata map<string,string>, section_ix int, heading string, section string"
@@ -57,11 +59,13 @@ def _quote(text: str) -> str:
     return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def filesystem(spark: SparkSession, root: str, pattern: str = "*.{md,mdx,html}") -> DataFrame:
-    """Markdown and HTML files below a folder: front matter becomes metadata; id is the relative path and
-    url the path without extension and without a last ``index``. Headings of Markdown stay as they are."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    rows = _relative(files.select("content", "_metadata"), root).select("relative", F.col("content").alias("raw"))
+def filesystem(spark: SparkSession, root: str, pattern: str = "**/*.{md,mdx,html}") -> DataFrame:
+    """Files below a folder whose relative path fits a glob (``**`` crosses folders): front matter becomes
+    metadata, lists in it joined by commas; id is the relative path and url the path without extension and
+    without a last ``index``. Headings of Markdown stay as they are."""
+    name = pattern.rsplit("/", 1)[-1]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", name).load(root)
+    rows = _relative(files.select("content", "_metadata"), root).where(F.col("relative").rlike(glob_regex(pattern))).select("relative", F.col("content").alias("raw"))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -157,9 +161,29 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 RUN = "version int, name string, created_at string, environment map<string,string>, results array<struct<candidate:string,mode:string,ndcg:double,recall:double,rr:double,p50:double,p95:double>>"
 
 
-def write_run(path: str, run: dict) -> None:
-    with open(path, "w") as f:
-        json.dump(run, f, indent=1, sort_keys=True)
+def write_run(spark: SparkSession, path: str, run: dict) -> None:
+    write_text(spark, path, json.dumps(run, indent=1, sort_keys=True))
+
+
+REPORT = ("ndcg", "ap", "recall", "precision", "rr")
+
+
+def ranking_report(results: list[dict], macro: list[dict], checks: list[dict] | None = None, created_at: str = "") -> tuple[str, str]:
+    """Results by dataset and engine as JSON and as Markdown: a table a dataset, one of means over the datasets,
+    and what the checks found. A latency that is null stands for a run that did not end in its time."""
+    body = {"version": 1, "created_at": created_at, "datasets": results, "macro": macro, "checks": checks}
+    late = lambda x: "budget exceeded" if x is None else f"{x:.2f}"
+    figure = lambda x: "-" if x is None else f"{x:.3f}"
+    label = lambda x: str(x).replace("|", "\\|")
+    lines = ["# Ranking quality", ""]
+    for dataset in dict.fromkeys(r["dataset"] for r in results):
+        lines += [f"## {label(dataset)}", "", "| engine | " + " | ".join(REPORT) + " | ms a query |", "|---|" + "---:|" * (len(REPORT) + 1)]
+        lines += [f"| {label(r['engine'])} | " + " | ".join(figure(r.get(m)) for m in REPORT) + f" | {late(r.get('query_ms'))} |" for r in results if r["dataset"] == dataset] + [""]
+    lines += ["## Means over datasets", "", "| engine | datasets | " + " | ".join(REPORT) + " | ms a query |", "|---|---:|" + "---:|" * (len(REPORT) + 1)]
+    lines += [f"| {label(r['engine'])} | {r['datasets']} | " + " | ".join(figure(r.get(m)) for m in REPORT) + f" | {late(r.get('ms_per_query'))} |" for r in macro] + [""]
+    if checks is not None:
+        lines += ["## Checks", "", "passed" if not checks else "failed", *(f"- {c['kind']}: {c['dataset']}/{c['engine']} (actual {figure(c.get('actual'))}, minimum {figure(c.get('minimum'))})" for c in checks), ""]
+    return json.dumps(body, indent=1), "\n".join(lines)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
@@ -174,9 +198,17 @@ def baseline(run: dict) -> dict:
     return {**run, "created_at": "", "environment": {}, "results": still}
 
 
-def artifact_sizes(spark: SparkSession, path: str) -> DataFrame:
-    """(bucket, files, bytes) of an index folder by its tables, and in the row with a null bucket of all."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+def artifact_sizes(spark: SparkSession, path: str, zipped: bool = False) -> DataFrame:
+    """(bucket, files, bytes) of an index folder by its tables, and in the row with a null bucket of all; with
+    ``zipped`` also ``gzip_bytes``, for which every file is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     bucket = F.regexp_extract("path", _quote(path.rstrip("/").split("://", 1)[-1]) + "/+([^/]+)/", 1)
-    return files.withColumn("bucket", bucket).rollup("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+    @F.pandas_udf("long")
+    def packed(contents: pd.Series) -> pd.Series:
+        return pd.Series([len(gzip.compress(bytes(c))) for c in contents], dtype="int64")
+
+    extra = {"gzip_bytes": packed("content")} if zipped else {}
+    sized = files.select("length", bucket.alias("bucket"), *[c.alias(n) for n, c in extra.items()])
+    return sized.rollup("bucket").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"), *[F.sum(n).alias(n) for n in extra])
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -105,43 +106,47 @@ def decode(raw: bytes) -> str:
     return raw.decode(charset_of(raw), errors="replace").removeprefix("﻿")
 
 
-def _meta_key(name: str) -> str | None:
+# Prefixes that a metadata name may have before its own name, names that stand for another, and
+# markers that are no metadata.
+PREFIXES = ("data-search-", "og:")
+ALIASES = {"docusaurus_locale": "locale", "docusaurus_version": "version"}
+MARKERS = ("body", "ignore")
+
+
+def _own_name(name: str) -> str | None:
     low = name.lower()
-    if low.startswith("data-search-"):
-        return low.removeprefix("data-search-")
-    if low.startswith("og:"):
-        return low.removeprefix("og:")
-    return {"docusaurus_locale": "locale", "docusaurus_version": "version"}.get(low)
+    return ALIASES.get(low) or next((low.removeprefix(p) for p in PREFIXES if low.startswith(p)), None)
 
 
-def metadata_of(root: Element) -> dict[str, str]:
-    """Of all meta elements, by name and by normalised name; the first value of a name stays."""
-    out: dict[str, str] = {}
+def _pairs(root: Element) -> Iterator[tuple[str, str | None]]:
+    """Every (name, value) that a page states about itself, in the order in which the first counts."""
     for e in root.each():
-        if e.tag != "meta":
-            continue
-        name, value = e.attrs.get("name", e.attrs.get("property")), clean(e.attrs.get("content"))
-        for key in (name, _meta_key(name)) if name else ():
-            if key and value:
-                out.setdefault(key, value)
-        for attr, raw in e.attrs.items():
-            key = _meta_key(attr)
-            if key and key not in ("body", "ignore") and clean(raw):
-                out.setdefault(key, clean(raw))
+        if e.tag == "meta":
+            stated = e.attrs.get("name", e.attrs.get("property"))
+            if stated:
+                yield stated, e.attrs.get("content")
+                yield _own_name(stated) or "", e.attrs.get("content")
+            yield from ((key, raw) for attr, raw in e.attrs.items() if (key := _own_name(attr)) not in (None, *MARKERS))
     page = root.first("html")
-    lang = clean(page.attrs.get("lang")) if page else ""
-    for key in ("lang", "locale") if lang else ():
-        out.setdefault(key, lang)
-    return out
+    yield from ((key, page.attrs.get("lang")) for key in ("lang", "locale") if page)
+
+
+def metadata_of(root: Element) -> dict[str, str]:
+    """Of all meta elements, by name and by normalised name, and the page's language; the first value of a name
+    stays, and blank ones do not count."""
+    known = [(k, v) for k, raw in _pairs(root) if k and (v := clean(raw))]
+    return dict(reversed(known))
+
+
+# Where a page's title is looked for, the first that is there deciding: a selector, and the attribute that holds it.
+TITLES = (("meta[name=data-search-title]", "content"), ("meta[data-search-title]", "data-search-title"), ("meta[property=og:title]", "content"), ("title", None))
 
 
 def title_of(root: Element, heading: str, route: str) -> str:
-    named = root.first("meta[name=data-search-title]")
-    marked = root.first("meta[data-search-title]")
-    graph = root.first("meta[property=og:title]")
-    page = root.first("title")
-    first = named.attrs.get("content") if named and "content" in named.attrs else marked.attrs["data-search-title"] if marked else graph.attrs.get("content") if graph and "content" in graph.attrs else page.text() if page else ""
-    return clean(first) or heading or route
+    there = ((e, attr) for selector, attr in TITLES if (e := root.first(selector)) and (attr is None or attr in e.attrs))
+    e, attr = next(there, (None, None))
+    stated = "" if e is None else e.text() if attr is None else e.attrs[attr]
+    return clean(stated) or heading or route
 
 
 def sections(body: Element) -> list[tuple[str | None, str]]:
@@ -190,9 +195,29 @@ _FRONT = re.compile(r"\A---[ \t]*\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", re.S)
 
 
 def front_matter(text: str) -> tuple[dict[str, str], str]:
-    """Flat ``key: value`` pairs between two ``---`` lines at the top, and the rest."""
+    """``key: value`` pairs between two ``---`` lines at the top, and the rest. A list, in brackets or as items
+    below its key, becomes its elements joined by commas; a key of a nested mapping has its parents' before it,
+    parted by dots; comments and quotes are left out."""
     m = _FRONT.match(text)
     if not m:
         return {}, text
-    pairs = (ln.partition(":") for ln in m.group(1).splitlines() if ":" in ln and not ln.startswith((" ", "\t", "#", "-")))
-    return {k.strip(): v.strip().strip("'\"") for k, _, v in pairs if v.strip()}, text[m.end() :]
+    out: dict[str, list[str]] = {}
+    above: list[tuple[int, str]] = []  # indents and keys of the mappings around a line
+    bare = lambda v: re.sub(r"\s+#.*$", "", v).strip().strip("'\"") if not re.match(r"\s*['\"]", v) else v.strip()[1:].rsplit(v.strip()[0], 1)[0]
+    for ln in m.group(1).splitlines():
+        indent, line = len(ln) - len(ln.lstrip()), ln.strip()
+        if not line or line.startswith("#"):
+            continue
+        if line.startswith("- ") and above:
+            out.setdefault(".".join(k for _, k in above), []).append(bare(line[2:]))
+            continue
+        key, colon, value = line.partition(":")
+        if not colon:
+            continue
+        above = [(n, k) for n, k in above if n < indent] + [(indent, key.strip().strip("'\""))]
+        name, value = ".".join(k for _, k in above), value.strip()
+        if value.startswith("[") and value.endswith("]"):
+            out[name] = [bare(v) for v in value[1:-1].split(",")]
+        elif value:
+            out[name] = [bare(value)]
+    return {k: ",".join(x for x in v if x) for k, v in out.items() if any(v)}, text[m.end() :]
