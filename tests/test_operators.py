@@ -192,8 +192,8 @@ def test_store(spark, tmp_path):
     store.write_manifest(spark, root, {"docs": {"chunks": 1}}, "t")
     assert store.read_manifest(spark, root)["corpora"] == {"docs": {"chunks": 1}}
     df = number_chunks(spark.createDataFrame([("c", f"{k:03}", 400) for k in range(50)], "corpus string, id string, size int"), ["id"])
-    packed = store.pack_shards(df, ["corpus", "id"], "size", 1000).groupBy("part", "shard").sum("size").collect()
-    assert all(r[2] <= 1000 for r in packed) and sum(r[2] for r in packed) == 20_000
+    packed = store.pack_shards(df, ["corpus", "id"], "size", 1000).groupBy("shard").sum("size").collect()
+    assert all(r[1] <= 1000 for r in packed) and sum(r[1] for r in packed) == 20_000 and {r.shard for r in packed} == set(range(25))
 
 
 def test_incremental_keeps_equal_headings(spark, tmp_path):
@@ -213,3 +213,146 @@ def test_incremental_keeps_equal_headings(spark, tmp_path):
     assert sorted(map(tuple, got.select("document_id", *tf).collect())) == sorted(map(tuple, want.select("document_id", *tf).collect()))
     assert got.select("chunk_ix").distinct().count() == cut.count() > 5
     assert spark.read.parquet(f"{tmp_path}/cache").count() == cut.select("content").distinct().count()
+
+
+def test_sample_is_the_shuffle():
+    import numpy as np
+
+    from lexloom.operators import synthetic
+
+    def plain(total, size, seed):
+        draws, order = synthetic.Draws(seed), list(range(total))
+        for last in range(total - 1, 0, -1):
+            at = int(draws() * (last + 1))
+            order[last], order[at] = order[at], order[last]
+        return order[:size]
+
+    for total, size, seed, block in ((1, 5, 1, 10), (2, 2, 3, 1), (50, 10, 7, 8), (400, 100, 0x5EE117, 64), (400, 400, 9, 1000), (0, 3, 1, 5)):
+        assert synthetic.sample(total, size, seed, block) == plain(total, size, seed)
+    draws = synthetic.Draws(42)
+    assert np.allclose([draws() for _ in range(5)], synthetic.Draws(42).at(np.arange(1, 6)))
+    assert synthetic.typo("aab", synthetic.Draws(1)) == "aba" and synthetic.typo("aaa", synthetic.Draws(1)) is None
+
+
+def test_shards_do_not_hang_on_ranges(spark):
+    import random
+
+    rng = random.Random(3)
+    rows = [(c, k, rng.choice([0, 1, 10, 300, 900, 2500]), "x") for c in ("a", "b", "c") for k in range({"a": 150, "b": 1, "c": 40}[c])]
+    want, at = {}, (None, 0, 0)
+    for c, k, n, _ in sorted(rows):
+        shard, held = (0, n) if c != at[0] else (at[1] + 1, n) if at[2] and at[2] + n > 1000 else (at[1], at[2] + n)
+        at = (c, shard, held)
+        want[c, k] = shard
+    df = spark.createDataFrame(rows, "corpus string, k int, size int, shard_of string")
+    for parts in (1, 3, 16):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        got = {(r.corpus, r.k): r.shard for r in store.pack_shards(df, ["corpus", "k"], "size", 1000).collect()}
+        assert got == want
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert store.pack_shards(df.limit(0), ["corpus", "k"], "size", 1000).count() == 0
+
+
+def test_config_build_and_runtime_vectors(spark, tmp_path):
+    from lexloom.plans import config
+
+    docs = [{"id": "canvas", "url": "/docs/canvas", "title": "Canvas", "content": "# Draw\ncanvas shapes", "metadata": {"tags": "ui", "version": "2.x", "author": "me"}}, {"id": "auth", "url": "/docs/auth", "title": "Authentication", "content": "tokens and calls", "metadata": None}, {"id": "old", "url": "/old/x", "title": "Old", "content": "canvas", "metadata": {}}]
+    provider = vectors.hashing_provider(8)
+    out, cache = str(tmp_path / "out"), str(tmp_path / "cache")
+    corpora = {"docs": config.Corpus(docs, include=("/docs/**",), filters=("version",), facets=("tags",), vectors=config.Vectors(provider)), "late": config.Corpus(docs)}
+    (tmp_path / "out" / "gone").mkdir(parents=True)
+    first = config.build(spark, corpora, out, cache=cache)
+    assert first["docs"] == {"documents": 2, "chunks": 2, "cached": 0, "embedded": 2} and first["late"]["documents"] == 3 and not (tmp_path / "out" / "gone").exists()
+    assert config.build(spark, corpora, out, cache=cache)["docs"]["cached"] == 2 and not (tmp_path / "cache" / "lock").exists()
+    found = config.Searcher(spark, out, {"late": provider})
+    assert not found.loaded("docs")
+    q = spark.createDataFrame([(1, "canvas ", [float(x) for x in provider.embed(["canvas"])[0]])], "query_id long, text string, query_vector array<float>")
+    page = search.search(found.index(("docs",)), q, Options(where={"version": "2.x"}), hydrate=True).collect()
+    assert [r.id for r in page] and page[0].document_id == "canvas" and page[0].metadata == {"author": "me"} and page[0].tags == "ui" and found.loaded("docs")
+    assert found.index(("late",)).vectors is None and found.index(("late",), vectors=True).vectors.count() == 3
+    assert search.search(found.index(vectors=True), q, Options(mode="hybrid")).count() == 5
+    assert config.built_chunks(spark, out, "docs").count() == 2
+    assert config.build(spark, {"docs": corpora["docs"]}, str(tmp_path / "v1"), version=1)["docs"]["chunks"] == 2
+    assert {r.document_id for r in config.built_chunks(spark, str(tmp_path / "v1"), "docs").collect()} == {"canvas", "auth"}
+    for bad in ({"a/b": corpora["late"]}, {"..": corpora["late"]}):
+        with pytest.raises(ValueError):
+            config.build(spark, bad, out)
+    with pytest.raises(ValueError):
+        config.build(spark, corpora, out, version=3)
+
+
+def test_formats_rank_alike(spark, tmp_path):
+    from lexloom.operators.index import read_index_v1, unfielded_postings, write_index_v1
+
+    rows = [("c", k, n, n, f"/{n}", t, None, c, None, None) for k, (n, t, c) in enumerate([("canvas", "Canvas", "drawing on the canvas"), ("auth", "Authentication", "signing in"), ("deploy", "Deployment", "shipping a canvas")])]
+    chunks = spark.createDataFrame(rows, CHUNK)
+    write_index_v1(*unfielded_postings(chunks), chunks, str(tmp_path / "v1"))
+    p, n, _, v = read_index_v1(spark, str(tmp_path / "v1"))
+    q = spark.createDataFrame([(1, "canvas ")], "query_id long, text string")
+    one = [r.chunk_ix for r in search.unfielded(p, n, q).orderBy(F.desc("score")).collect()]
+    two = [r.chunk_ix for r in search.lexical(build_index(chunks), q).orderBy(F.desc("lexical_score")).collect()]
+    assert one == two == [0, 2] and v is None
+    with pytest.raises(ValueError):
+        read_index(spark, str(tmp_path / "v1"))
+
+
+def test_runner(spark, index):
+    from lexloom.operators import runner
+
+    q = spark.createDataFrame([(1, "tolerance "), (2, "nothing ")], "query_id long, text string")
+    j = spark.createDataFrame([(1, "s2"), (2, "auth")], "query_id long, doc_id string")
+    run, hits = runner.run_candidates(spark, {"plain": runner.Candidate(), "chunks": runner.Candidate(query={"group_by": "none"})}, lambda c: (index, ("lexical",)), q, j)
+    by = {r["candidate"]: r for r in run["results"]}
+    assert by["plain"]["recall"] == 0.0 and by["chunks"]["recall"] == 0.5 and by["chunks"]["rr"] == 0.25
+    own = hits.where("candidate = 'chunks'")
+    assert {(r.id, r.doc_id) for r in runner.relevance_keys(own, j).collect()} == {("s1", "search"), ("s2", "s2")}
+    assert {r.query_id: r["first"] for r in runner.first_relevant(own, j).collect()} == {1: 2, 2: None}
+    with pytest.raises(ValueError):
+        runner.run_candidates(spark, {}, lambda c: (index, ("lexical",)), q, j.limit(0))
+    page, more = runner.load_more(index, q, Options(group_by="none", limit=1), 0)
+    assert [r.more for r in page.withColumn("more", more).collect()] == [True]
+    page, more = runner.load_more(index, q, Options(group_by="none", limit=1), 1)
+    assert [(r.rank, r.more) for r in page.withColumn("more", more).collect()] == [(2, False)]
+
+
+def test_locks_reports_and_front_matter(spark, tmp_path):
+    import json
+
+    from lexloom.functions import text
+
+    with store.locked(spark, str(tmp_path / "lock")):
+        with pytest.raises(TimeoutError), store.locked(spark, str(tmp_path / "lock"), wait=0.2):
+            pass
+    with store.locked(spark, str(tmp_path / "lock")), store.locked(spark, str(tmp_path / "lock"), stale=-1):
+        pass
+    made, shown = documents.ranking_report([{"dataset": "d", "engine": "a|b", "ndcg": 0.5, "query_ms": None}], [{"engine": "a", "datasets": 1, "ndcg": 0.5, "ms_per_query": 2.0}], [{"kind": "sanity", "dataset": "d", "engine": "a", "actual": None, "minimum": 0.4}])
+    assert json.loads(made)["datasets"][0]["ndcg"] == 0.5 and "a\\|b" in shown and "budget exceeded" in shown and "minimum 0.400" in shown
+    documents.write_run(spark, str(tmp_path / "run.json"), {"version": 1, "name": "r", "created_at": "t", "environment": {}, "results": []})
+    assert documents.read_runs(spark, str(tmp_path / "run.json")).first().name == "r"
+    sizes = {r.bucket: r for r in documents.artifact_sizes(spark, str(tmp_path), True).collect()}
+    assert sizes[None].bytes > 0 and sizes[None].gzip_bytes > 0
+    meta, rest = html.front_matter("---\ntitle: 'A: b' # c\ntags: [x, \"y\"]\nlist:\n  - one\n  - two\nnest:\n  deep: 3\n# no\n---\nbody")
+    assert rest == "body" and meta == {"title": "A: b", "tags": "x,y", "list": "one,two", "nest.deep": "3"}
+    (tmp_path / "g" / "a").mkdir(parents=True)
+    for name in ("g/top.md", "g/a/in.md", "g/a/no.txt"):
+        (tmp_path / name).write_text("x")
+    assert {r.id for r in documents.filesystem(spark, str(tmp_path / "g"), "a/*.md").collect()} == {"a/in.md"} and documents.filesystem(spark, str(tmp_path / "g")).count() == 2
+    df = spark.createDataFrame([("",), ("a",), (None,)], "t string")
+    assert [r[0] for r in df.select(text.xxh64(F.col("t"))).collect()] == ["ef46db3751d8e999", "d24ec4f1a98c6e5b", None]
+
+
+def test_stream_index_and_removal(spark, tmp_path):
+    from datetime import datetime as t
+
+    from lexloom.streaming import incremental
+
+    out = str(tmp_path)
+    assert incremental.current(spark, out).count() == 0
+    docs = spark.createDataFrame([("a", "/a", "Canvas", "draw here", "c", t(2025, 1, 1)), ("b", "/b", "Auth", "canvas too", "c", t(2025, 1, 1))], incremental.DOCUMENTS)
+    incremental.apply_batch(docs, 0, out)
+    index = incremental.current_index(spark, out)
+    assert [r.document_id for r in run(spark, index, "canvas ")] == ["a", "b"]
+    incremental.apply_batch(docs.where("id = 'a'").withColumn("removed", F.lit(True)), 1, out)
+    assert [r.document_id for r in run(spark, incremental.current_index(spark, out), "canvas ")] == ["b"]
+    same = spark.createDataFrame([("a", "/a", x, "y", "c", None) for x in ("one", "two")], incremental.DOCUMENTS)
+    assert [r.title for r in incremental.latest(same).collect()] == ["two"]
