@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm import enrichment, markup, mixing, multiindex, outranking, packing, pagediff, postings, reading, splitter, term_counts
 from lexloom.llm.tokens import token_count
-from lexloom.runtime import materialize, table
+from lexloom.runtime import materialize, scoped, table
 
 CAPACITY = 2048
 
@@ -132,7 +132,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return reading.banded(p10_grades(spark, d))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+_MADE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_frequencies": p1_frequencies,
     "p1_phrases": p1_phrases,
@@ -157,3 +157,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p10_found": p10_found,
     "p10_grades": p10_grades,
 }
+
+QUERIES = {name: scoped(make) for name, make in _MADE.items()}

@@ -6,7 +6,7 @@ import base64
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -29,19 +29,21 @@ class TokenCounter:
 
     _of: dict[str, TokenCounter] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, vocabulary: bytes | None = None) -> None:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if vocabulary is None:
+            with open(path, "rb") as f:
+                vocabulary = f.read()
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.words: dict[str, int] = {}
         self.segments: dict[str, int] = {}
 
     @classmethod
-    def at(cls, path: str) -> TokenCounter:
+    def at(cls, path: str, vocabulary: bytes | None = None) -> TokenCounter:
         if path not in cls._of:
-            cls._of[path] = cls(path)
+            cls._of[path] = cls(path, vocabulary)
         return cls._of[path]
 
     def _slow(self, text: str) -> int:
@@ -80,11 +82,14 @@ class TokenCounter:
 
 
 def token_count(text: Column | str, path: str = TOKENIZER) -> Column:
-    """Tokens of each text; 0 for null and empty texts."""
+    """Tokens of each text; 0 for null and empty texts. The vocabulary (some megabytes) is read where the job is
+    started and broadcast, so executors need no copy of the file."""
+    with open(path, "rb") as f:
+        shared = SparkSession.active().sparkContext.broadcast(f.read())
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        counter = TokenCounter.at(path)
+        counter = TokenCounter._of.get(path) or TokenCounter.at(path, shared.value)
         return pd.Series([counter.count(t) for t in texts], dtype="int64")
 
     return count(text)

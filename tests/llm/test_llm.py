@@ -481,7 +481,96 @@ def test_isotonic_rises():
     assert (np.diff(grades) >= 0).all() and (np.diff(knots) >= 0).all()
 
 
-@pytest.mark.parametrize("name", ["p1_phrases", "p2_scores", "p3_order", "p4_found", "p5_found", "p6_pieces", "p7_knn", "p8_found", "p9_shares", "p10_found"])
-def test_queries_run(spark, name):
-    df = QUERIES[name](spark, oracle.SMALL.replace("sf0.01", "sf0.001"))
-    assert df.columns and df.count() >= 0
+TINY = oracle.SMALL.replace("sf0.01", "sf0.001")
+
+
+def source(name):
+    return oracle.connect(TINY).sql(name).fetchall()
+
+
+def test_clean_and_body_queries(spark):
+    rows = {r[0]: r for r in source("SELECT id, title, content, url FROM search_document QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC) = 1")}
+    cleaned = QUERIES["p4_clean"](spark, TINY).collect()
+    assert len(cleaned) == 2 * len(rows) and {(r.id, r.field) for r in cleaned} == {(i, f) for i in rows for f in ("title", "content")}
+    assert {(r.id, r.field) for r in QUERIES["p4_found"](spark, TINY).collect()} == {(r.id, r.field) for r in cleaned if r.kinds}
+    for r in cleaned:
+        value = rows[r.id][1 if r.field == "title" else 2]
+        assert (r.text is None) == (value is None) and (r.kinds or r.text == value)
+    bodies = {r.id: r for r in QUERIES["p5_body"](spark, TINY).collect()}
+    assert set(bodies) == {i for i, r in rows.items() if r[2] is not None and (r[3] or "").startswith("http")}
+    found = QUERIES["p5_found"](spark, TINY).collect()
+    assert len(found) == sum(len(r.boilerplate) for r in bodies.values()) > 50
+    for r in found:
+        assert rows[r.id][2].split("\n")[r.line_ix].strip()
+    for i, r in bodies.items():
+        assert r.body == "\n".join(x for k, x in enumerate(rows[i][2].split("\n")) if k not in set(r.boilerplate))
+
+
+def test_piece_queries(spark):
+    pieces = QUERIES["p6_pieces"](spark, TINY).collect()
+    white = re.compile(f"[{splitter.WHITE}]+")
+    for r in pieces:
+        words = [w for w in white.split(r.piece) if w]
+        limit, overlap = (600, 60) if r.item_kind == "document" else (180, 30)
+        assert len(words) == r.end_word - r.start_word <= limit and r.new_word - r.start_word <= overlap
+    assert {(r.item_kind, r.item_id) for r in pieces} == {(r.item_kind, r.item_id) for r in QUERIES["p6_found"](spark, TINY).collect()}
+
+
+def test_knn_query_recall(spark):
+    got = {r.vec_id: r for r in QUERIES["p7_knn"](spark, oracle.SMALL).collect()}
+    own = multiindex.usable(spark.read.parquet(f"{oracle.SMALL}/decoded_vector_v2.parquet")).select("vec_id", "dimensions", "unit").collect()
+    hit = total = 0
+    for dims in {r.dimensions for r in own}:
+        units = {r.vec_id: np.array(r.unit, dtype=np.float64) for r in own if r.dimensions == dims}
+        lead: dict = {}
+        for i in sorted(units):
+            lead.setdefault(units[i].tobytes(), i)
+        reps = sorted(lead.values())
+        m = np.stack([units[i] for i in reps])
+        for i in units:
+            if i % 20 == 0:
+                s = m @ units[i]
+                s[reps.index(lead[units[i].tobytes()])] = -2
+                best = {reps[k] for k in np.argsort(-s)[:10]}
+                near = got[i].neighbours or []
+                assert [x.similarity for x in near] == sorted((x.similarity for x in near), reverse=True) and len(near) <= 10
+                hit, total = hit + len(best & {x["class"] for x in near}), total + len(best)
+    assert {i for i in got} == {r.vec_id for r in own if r.vec_id % 20 == 0} and hit / total >= 0.9
+
+
+def test_packing_and_mixing_queries(spark):
+    counter = TokenCounter.at(TOKENIZER)
+    docs = {i: (counter.count(t), s) for i, t, s in source("SELECT doc_id, text, source FROM documents")}
+    packed = QUERIES["p8_pack"](spark, TINY).collect()
+    boxes: dict = {}
+    held: dict = {}
+    for r in packed:
+        boxes[r.container] = boxes.get(r.container, 0) + r.tokens
+        held[r.item_id] = held.get(r.item_id, 0) + r.tokens
+    assert max(boxes.values()) <= 2048 and held == {i: n for i, (n, _) in docs.items() if n}
+    use = QUERIES["p8_usage"](spark, TINY).first()
+    assert use.containers == len(boxes) and use.tokens == sum(held.values()) and use.used > 0.9
+    assert {r.doc_id for r in QUERIES["p8_found"](spark, TINY).collect()} == {i for i, (n, _) in docs.items() if n > 2048}
+    key = lambda s: re.sub(r"[-_\s]", "_", s.strip().lower()) if s is not None else None
+    targets = {key(s): (s, share, most) for s, share, most in source("SELECT source, target_share, max_repeats FROM mix_target")}
+    total = sum(n for n, _ in docs.values())
+    own = {k: sum(n for n, s in docs.values() if key(s) == k) for k in targets}
+    assert {r.source for r in QUERIES["p9_found"](spark, TINY).collect()} == {s for k, (s, share, most) in targets.items() if own[k] * most < round(share * total)}
+    drawn = QUERIES["p9_draw"](spark, TINY).collect()
+    for r in drawn:
+        assert docs[r.doc_id][0] == r.tokens and targets[key(docs[r.doc_id][1])][0] == r.source and r.uses <= targets[key(docs[r.doc_id][1])][2]
+    for r in QUERIES["p9_shares"](spark, TINY).collect():
+        k = key(r.source)
+        assert r.held_tokens == own[k] and r.drawn_tokens == sum(x.tokens * x.uses for x in drawn if x.source == r.source) <= r.quota
+
+
+def test_reading_queries(spark):
+    docs = {i: (t, lang) for i, t, lang in oracle.connect(oracle.SMALL).sql("SELECT doc_id, text, lang FROM documents").fetchall()}
+    grades = {r.doc_id: r for r in QUERIES["p10_grades"](spark, oracle.SMALL).collect()}
+    assert set(grades) == set(docs) and all((r.words > 0) == bool(reading.measure(docs[i][0], docs[i][1])[1]) for i, r in grades.items())
+    found = {(r.doc_id, r.reading_band) for r in QUERIES["p10_found"](spark, oracle.SMALL).collect()}
+    formula = {i: reading.measure(*docs[i])[2] for i in docs if docs[i][1] == "en"}
+    want = {(i, "easy" if g < 6 else "hard") for i, g in formula.items() if g < 6 or g > 14.5}
+    assert len(want) > 100 and len(found ^ want) <= 0.02 * len(want)
+    held_out = [i for k, i in enumerate(sorted(formula)) if k % 3 == 0 and grades[i].grade is not None]
+    assert np.sqrt(np.mean([(grades[i].grade - formula[i]) ** 2 for i in held_out])) < 1.5
