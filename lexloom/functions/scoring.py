@@ -40,14 +40,18 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
+def _let(value: Column, body) -> Column:
+    """Binds a value to a lambda variable, so that it is made once however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """In double precision; 0 where a norm is 0. Of int8 vectors the scale has no effect."""
-    n = norm(a) * norm(b)
-    return F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0))
+    return _let(norm(a) * norm(b), lambda n: F.when(n > 0, dot(a, b) / n).otherwise(F.lit(0.0)))
 
 
 def l2_normalize(v: Column) -> Column:
-    return F.transform(v, lambda x: (x.cast("double") / F.when(norm(v) > 0, norm(v)).otherwise(F.lit(1.0))).cast("float"))
+    return _let(norm(v), lambda n: F.transform(v, lambda x: (x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))).cast("float")))
 
 
 def quantize_scale(v: Column) -> Column:

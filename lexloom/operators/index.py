@@ -51,14 +51,14 @@ def number_documents(chunks: DataFrame) -> DataFrame:
 
 
 def field_terms(chunks: DataFrame, analyzer: Analyzer) -> DataFrame:
-    """(corpus, chunk_ix, field, term, tf) of the words longer than one character after analysis."""
+    """(corpus, chunk_ix, field, term, tf) of the words longer than one character after analysis; words that
+    become one term have a row each, for ``postings_of`` to add up."""
     text = {"title": "title", "heading": "heading", "body": "content"}
     fields = F.array(*[F.struct(F.lit(f).alias("field"), tokens(F.col(text[f])).alias("words")) for f in FIELDS])
     words = chunks.select("corpus", "chunk_ix", F.explode(fields).alias("f")).select("corpus", "chunk_ix", "f.field", F.explode("f.words").alias("raw"))
     # Equal words of a field are counted before they are analysed.
     raw = words.groupBy("corpus", "chunk_ix", "field", "raw").agg(F.count(F.lit(1)).alias("n"))
-    analysed = raw.withColumn("term", analyze_token(F.col("raw"), analyzer)).where(F.length("term") > 1)
-    return analysed.groupBy("corpus", "chunk_ix", "field", "term").agg(F.sum("n").alias("tf"))
+    return raw.select("corpus", "chunk_ix", "field", analyze_token(F.col("raw"), analyzer).alias("term"), F.col("n").alias("tf")).where(F.length("term") > 1)
 
 
 def postings_of(terms: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from lexloom.operators.vectors import similarities
 from lexloom.runtime import materialize
 
 KEYS = ["query_id", "corpus", "chunk_ix"]
+MODES = ("lexical", "semantic", "hybrid")
+TERMS = "array<struct<source_ix:int,term:string,source:string,kind:string,distance:int>>"
 RESULT = ["query_id", "rank", "corpus", "document_id", "chunk_ix", "id", "score", "lexical_score", "semantic_score", "matches"]
 
 
@@ -49,30 +51,47 @@ def corpora_of(queries: DataFrame, index: Index, names: tuple[str, ...] = ()) ->
     return queries.select("query_id", F.explode(look).alias("corpus"))
 
 
-def lexical(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
-    """(query_id, corpus, chunk_ix, lexical_score, terms): fielded BM25 of every chunk with a matched term.
+def expansions(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
+    """The words of the queries with the terms they look for (see ``expand``), as a table: a few rows a word."""
+    terms = expand(query_terms(queries, index.analyzer), index.dictionary, corpora_of(queries, index, options.corpora), options.max_expansions)
+    return materialize(terms, "terms")
 
-    A chunk takes the best expansion of each query word (of equal ones the first) and adds the words up;
-    a repeated word counts again. Postings hold the lengths of their chunk and meet the words by term, of
-    which a word of a third of all postings is looked up by broadcast like every other where the words are
-    few. The hits are shuffled once, by query and chunk, for both the best and the sum.
-    """
-    words = query_terms(queries, index.analyzer)
-    terms = expand(words, index.dictionary, corpora_of(queries, index, options.corpora), options.max_expansions)
+
+def _hits(index: Index, terms: DataFrame, options: Options) -> DataFrame:
+    """Every posting of a term that a query looks for, with its score. Postings hold the lengths of their chunk and
+    meet the terms by term; few terms are broadcast, so that postings stay where they are."""
     postings = index.postings
     if "len_body" not in postings.columns:
         postings = postings.join(index.lengths, KEYS[1:])
     hits = postings.join(terms, ["corpus", "term"]).join(index.stats, "corpus")
-    scored = hits.select(*KEYS, "source_ix", bm25f(F.col("df"), F.col("chunk_count"), dict(options.weights), F.col("boost")).alias("s"), (-F.col("ord")).alias("o"), "term", "source", "kind", "distance")
-    met = scored.repartition(*KEYS)
-    if options.max_expansions > 0:
-        best = met.groupBy(*KEYS, "source_ix").agg(F.max(F.struct("s", "o", "term", "source", "kind", "distance")).alias("b")).select(*KEYS, "source_ix", "b.*")
-    else:
-        best = met
+    return hits.select(*KEYS, "source_ix", bm25f(F.col("df"), F.col("chunk_count"), dict(options.weights), F.col("boost")).alias("s"), (-F.col("ord")).alias("o"), "term", "source", "kind", "distance")
+
+
+def _found(hits: DataFrame) -> DataFrame:
+    """(query_id, corpus, chunk_ix, lexical_score, terms): by word the best expansion, of equal ones the first."""
+    best = hits.repartition(*KEYS).groupBy(*KEYS, "source_ix").agg(F.max(F.struct("s", "o", "term", "source", "kind", "distance")).alias("b")).select(*KEYS, "source_ix", "b.*")
     found = F.struct("source_ix", "term", "source", "kind", "distance")
     return best.groupBy(*KEYS).agg(F.sum("s").alias("lexical_score"), F.sort_array(F.collect_list(found)).alias("terms"))
 
 
+def lexical(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
+    """(query_id, corpus, chunk_ix, lexical_score, terms): fielded BM25 of every chunk with a matched term.
+
+    A chunk takes the best expansion of each query word (of equal ones the first) and adds the words up;
+    a repeated word counts again. The hits are shuffled once, by query and chunk, for both.
+    """
+    return _found(_hits(index, expansions(index, queries, options), options))
+
+
+def lexical_scores(index: Index, terms: DataFrame, options: Options = Options()) -> DataFrame:
+    """``lexical`` without the terms, from ``expansions``. Without expansions a word has one term, so scores are
+    added up before they are shuffled."""
+    hits = _hits(index, terms, options).select(*KEYS, "source_ix", "s")
+    if options.max_expansions > 0:
+        hits = hits.repartition(*KEYS).groupBy(*KEYS, "source_ix").agg(F.max("s").alias("s"))
+    return hits.groupBy(*KEYS).agg(F.sum("s").alias("lexical_score"))
+
+
 def unfielded(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, corpus, chunk_ix, score, terms) by unfielded BM25; a repeated query word counts once."""
     stats = lengths.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
@@ -84,27 +103,25 @@ def unfielded(postings: DataFrame, lengths: DataFrame, queries: DataFrame) -> Da
     return scored.groupBy("query_id", "corpus", "chunk_ix").agg(F.sum("s").alias("score"), F.sort_array(F.collect_set("term")).alias("terms"))
 
 
-def scores_of(index: Index, queries: DataFrame, options: Options = Options()) -> DataFrame:
-    """(query_id, corpus, chunk_ix, lexical_score, semantic_score, score, terms) of every chunk with a
-    positive score, before any filter. The lexical matches are worked out once and kept as a table."""
-    if options.mode not in ("lexical", "semantic", "hybrid"):
+def scores_of(index: Index, queries: DataFrame, options: Options = Options(), terms: DataFrame | None = None) -> DataFrame:
+    """(query_id, corpus, chunk_ix, lexical_score, semantic_score, score) of every chunk with a positive score,
+    before any filter. The lexical matches are worked out once and kept as a table."""
+    if options.mode not in MODES:
         raise ValueError(f"unknown mode {options.mode!r}")
+    none = F.lit(None).cast("double")
     scores = None
     if options.mode != "semantic":
-        lex = materialize(lexical(index, queries, options), "matched")
+        lex = materialize(lexical_scores(index, expansions(index, queries, options) if terms is None else terms, options), "matched")
         top = lex.groupBy("query_id", "corpus").agg(F.max("lexical_score").alias("_top"))
-        scores = lex.join(top, ["query_id", "corpus"]).withColumn("lexical_score", F.try_divide("lexical_score", "_top")).drop("_top")
+        scores = lex.join(top, ["query_id", "corpus"]).select(*KEYS, F.try_divide("lexical_score", "_top").alias("lexical_score"))
     if options.mode != "lexical" and index.vectors is not None:
         asked = corpora_of(queries, index, options.corpora).join(queries.select("query_id", "query_vector"), "query_id")
         sims = similarities(index.vectors, asked).select(*KEYS, semantic(F.col("cosine")).alias("semantic_score"))
-        scores = sims if scores is None else scores.join(sims, KEYS, "full")
+        scores = sims.withColumn("lexical_score", none) if scores is None else scores.join(sims, KEYS, "full")
     if scores is None:
-        scores = lexical(index, queries.limit(0), options)
-    for name, kind in (("lexical_score", "double"), ("semantic_score", "double")):
-        if name not in scores.columns:
-            scores = scores.withColumn(name, F.lit(None).cast(kind))
-    if "terms" not in scores.columns:
-        scores = scores.withColumn("terms", F.lit(None).cast("array<struct<source_ix:int,term:string,source:string,kind:string,distance:int>>"))
+        scores = corpora_of(queries, index).where(F.lit(False)).select("query_id", "corpus", F.lit(0).alias("chunk_ix"), none.alias("lexical_score"))
+    if "semantic_score" not in scores.columns:
+        scores = scores.withColumn("semantic_score", none)
     lex, sem = F.coalesce("lexical_score", F.lit(0.0)), F.col("semantic_score")
     score: Column = lex if options.mode == "lexical" else F.coalesce(sem, F.lit(0.0)) if options.mode == "semantic" else blend(lex, sem, options.semantic_weight)
     return scores.withColumn("score", score).withColumn("lexical_score", lex).where("score > 0")
@@ -197,13 +214,18 @@ def search(index: Index, queries: DataFrame, options: Options = Options(), hydra
     Columns: those of ``RESULT``, ``total``, ``terms``, the metadata columns, ``chunks`` where expanded,
     and with ``hydrate`` the content. All that neither orders nor filters is joined after the page is cut.
     """
-    scores = scores_of(index, queries, options)
+    terms = expansions(index, queries, options) if options.mode != "semantic" else None
+    scores = scores_of(index, queries, options, terms)
     page = materialize(paged(grouped(blended(index, queries, options, scores=scores), options.group_by), options.offset, options.limit), "page")
-    terms = scores.select(*KEYS, "terms").join(page.select(*KEYS), KEYS, "left_semi")
     late = [c for c in index.chunks.columns if c not in page.columns]
     shown = index.chunks.select("corpus", "chunk_ix", *late).join(page.select("corpus", "chunk_ix").distinct(), ["corpus", "chunk_ix"], "left_semi")
-    page = page.join(terms, KEYS, "left").join(shown, ["corpus", "chunk_ix"], "left")
-    page = page.withColumn("terms", F.coalesce("terms", F.array().cast(page.schema["terms"].dataType)))
+    page = page.join(shown, ["corpus", "chunk_ix"], "left")
+    if terms is None:
+        page = page.withColumn("terms", F.array().cast(TERMS))
+    else:
+        # Of the hits only those of the page are looked at again, for what matched.
+        named = _found(_hits(index, terms, options).join(page.select(*KEYS), KEYS, "left_semi")).select(*KEYS, "terms")
+        page = page.join(named, KEYS, "left").withColumn("terms", F.coalesce("terms", F.array().cast(TERMS)))
     if hydrate and index.content is not None:
         page = page.join(index.content, ["corpus", "chunk_ix"], "left")
     return page

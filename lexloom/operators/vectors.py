@@ -143,14 +143,10 @@ def _passes(queries: DataFrame, pass_bytes: int) -> Iterator[dict[tuple[str, int
     held = asked.agg(F.coalesce(F.sum(F.size("query_vector")), F.lit(0))).first()[0] * 8
     blocks = 1 + held // (pass_bytes // 2)
     for k in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toLocalIterator()
-        packs: dict[tuple[str, int], tuple[list, list]] = {}
-        for r in rows:
-            ids, values = packs.setdefault((r.corpus, len(r.query_vector)), ([], []))
-            ids.append(r.query_id)
-            values.append(r.query_vector)
-        if packs:
-            yield {at: (np.array(ids), np.array(values, dtype=np.float64)) for at, (ids, values) in packs.items()}
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).toPandas()
+        if len(rows):
+            packs = rows.groupby([rows.corpus, rows.query_vector.map(len)])
+            yield {at: (own.query_id.to_numpy(), np.stack(own.query_vector.to_numpy()).astype(np.float64)) for at, own in packs}
 
 
 def similarities(vectors: DataFrame, queries: DataFrame, keep: int | None = None, pass_bytes: int = PASS_BYTES) -> DataFrame:

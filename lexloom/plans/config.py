@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field, fields, replace
 from functools import reduce
 from typing import Any
 
@@ -50,7 +51,7 @@ class Corpus:
     vectors: Vectors | None = None
 
     @property
-    def fields(self) -> tuple[str, ...]:
+    def columns(self) -> tuple[str, ...]:
         return tuple(sorted({*self.filters, *self.facets}))
 
     @property
@@ -58,6 +59,43 @@ class Corpus:
         return MODES if self.vectors else MODES[:1]
 
 
+_providers: dict[str, Provider] = {}
+
+
+def register_provider(provider: Provider) -> None:
+    """A provider that configuration files may name by its id."""
+    _providers[provider.id] = provider
+
+
+def load_config(spark: SparkSession, path: str) -> dict[str, Corpus]:
+    """The corpora of a JSON file ``{"corpora": {name: {...}}}``: ``source`` (a path or ``@adapter``; none reads
+    rendered HTML below ``options.root``), ``options``, ``include``, ``exclude``, ``max_words``, ``overlap``,
+    ``filters``, ``facets``, ``folding``, ``stemmer`` and ``vectors`` (``provider``, ``mode``, ``int8``).
+
+    No corpora, a setting that is not known, and a provider that is not registered are errors."""
+    read = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    named = read.get("corpora") if isinstance(read, dict) else None
+    if not isinstance(named, dict) or not named:
+        raise ValueError(f"no corpora in {path}")
+    out = {}
+    for name, given in named.items():
+        own = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items()}
+        analyzer = Analyzer(own.pop("folding", True), own.pop("stemmer", None))
+        vectors = own.pop("vectors", None)
+        if vectors and vectors["provider"] not in _providers:
+            raise ValueError(f"no provider {vectors['provider']!r} is registered")
+        unknown = set(own) - {f.name for f in fields(Corpus)}
+        if unknown:
+            raise ValueError(f"corpus {name!r} has unknown settings {sorted(unknown)}")
+        out[safe_name(name)] = Corpus(**own, analyzer=analyzer, vectors=Vectors(**{**vectors, "provider": _providers[vectors["provider"]]}) if vectors else None)
+    return out
+
+
+def build_site(spark: SparkSession, site: str, out: str, name: str = "site", **settings) -> dict[str, dict[str, int]]:
+    """What runs after a site generator: the index of the pages it rendered below ``site``."""
+    return build(spark, {name: Corpus(None, {"root": site}, **settings)}, out)
+
+
 def corpus_chunks(spark: SparkSession, name: str, corpus: Corpus) -> tuple[DataFrame, DataFrame]:
     """The corpus' documents and its numbered chunks, with a column for each filter and facet field and the
     rest of the metadata in ``metadata``. Sources that come in sections already are cut as they are."""
@@ -67,10 +105,10 @@ def corpus_chunks(spark: SparkSession, name: str, corpus: Corpus) -> tuple[DataF
     loaded = loaded.withColumn("metadata", metadata)
     sections = loaded.withColumn("content", F.lit("")) if "section" in loaded.columns else text_sections(loaded)
     cut = chunks(sections, corpus.max_words, corpus.overlap).withColumn("corpus", F.lit(name))
-    for f in corpus.fields:
+    for f in corpus.columns:
         cut = cut.withColumn(f, F.col("metadata")[f])
-    fields = list(corpus.fields)
-    cut = cut.withColumn("metadata", F.map_filter("metadata", lambda k, _: ~k.isin(fields)) if fields else F.col("metadata"))
+    own = list(corpus.columns)
+    cut = cut.withColumn("metadata", F.map_filter("metadata", lambda k, _: ~k.isin(own)) if own else F.col("metadata"))
     return loaded, number_chunks(cut, ["document_id", "section_ix", "window_ix"])
 
 
@@ -114,7 +152,7 @@ def build(spark: SparkSession, corpora: Mapping[str, Corpus], out: str, version:
         if version == 1:
             write_index_v1(*unfielded_postings(cut), cut, f"{out}/{name}", made)
         else:
-            index = build_index(cut, corpus.analyzer, corpus.fields)
+            index = build_index(cut, corpus.analyzer, corpus.columns)
             content = cut.select("corpus", "chunk_ix", "content", "metadata")
             write_index(replace(index, content=content, vectors=made), f"{out}/{name}")
         counts[name] = stats

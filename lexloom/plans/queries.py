@@ -23,14 +23,22 @@ from lexloom.runtime import delete, materialize, pinned, scoped, shared_dir, tab
 from lexloom.sources import documents as sources
 from lexloom.sources import store
 
-_kept: dict[tuple[str, str, str], object] = {}
+_kept: dict[tuple[str, str, str], tuple[tuple, object]] = {}
+
+
+def _stamp(spark: SparkSession, d: str) -> tuple:
+    """Names, sizes and times of the tables of a folder."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(d)
+    files = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files))
 
 
 def _once(spark: SparkSession, d: str, name: str, make: Callable[[], object]):
-    key = (spark.sparkContext.applicationId, d, name)
-    if key not in _kept:
-        _kept[key] = pinned(make)
-    return _kept[key]
+    """What ``make`` gives, kept for the session until the folder's tables change."""
+    key, stamp = (spark.sparkContext.applicationId, d, name), _stamp(spark, d)
+    if key not in _kept or _kept[key][0] != stamp:
+        _kept[key] = stamp, pinned(make)
+    return _kept[key][1]
 
 
 def chunk_table(spark: SparkSession, d: str) -> DataFrame:

@@ -285,7 +285,15 @@ FROM secs JOIN titles USING (doc_id) WHERE section <> ''""",
     "dictionary_df": f"WITH {_INDEX} SELECT * FROM dict",
     "field_lengths": f"WITH {_INDEX} SELECT * FROM len",
     "corpus_stats": f"WITH {_INDEX} SELECT corpus, chunk_count, round(avg_title, 6) AS avg_title, round(avg_heading, 6) AS avg_heading, round(avg_body, 6) AS avg_body FROM stats",
-    "index_checks": "SELECT unnest(['posting without occurrence', 'repeated posting', 'posting of an unknown chunk', 'document frequency unlike postings', 'repeated chunk']) AS fault, 0::BIGINT AS number",
+    "index_checks": f"""WITH {_INDEX}
+SELECT 'posting without occurrence' AS fault, count(*) AS number FROM post WHERE tf_title + tf_heading + tf_body <= 0
+UNION ALL SELECT 'repeated posting', count(*) FROM (SELECT 1 FROM post GROUP BY corpus, term, chunk_ix HAVING count(*) > 1)
+UNION ALL SELECT 'posting of an unknown chunk', count(*) FROM post p WHERE NOT EXISTS (SELECT 1 FROM len l WHERE l.corpus = p.corpus AND l.chunk_ix = p.chunk_ix)
+UNION ALL SELECT 'document frequency unlike postings', count(*) FROM (SELECT corpus, term, count(*) AS df FROM post GROUP BY ALL) p FULL JOIN dict d USING (corpus, term) WHERE p.df IS DISTINCT FROM d.df
+UNION ALL SELECT 'term without text', count(*) FROM dict WHERE coalesce(length(term), 0) < 1
+UNION ALL SELECT 'repeated term', count(*) FROM (SELECT 1 FROM dict GROUP BY corpus, term HAVING count(*) > 1)
+UNION ALL SELECT 'posting with a negative frequency', count(*) FROM post WHERE least(tf_title, tf_heading, tf_body) < 0
+UNION ALL SELECT 'repeated chunk', count(*) FROM (SELECT 1 FROM ch GROUP BY corpus, chunk_ix HAVING count(*) > 1)""",
     "build_counts": f"WITH {_CHUNKS} SELECT corpus, count(DISTINCT document_id) AS documents, count(*) AS chunks FROM ch GROUP BY corpus",
     "bm25_v1": f"""WITH {_V1}
 SELECT q.query_id, p.corpus, p.chunk_ix, round(sum(ln(1 + (s.n - d.df + 0.5::DOUBLE) / (d.df + 0.5::DOUBLE)) * p.tf * 2.2::DOUBLE / (p.tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len(w.w) / greatest(s.average, 1)))), 6) AS score,

@@ -127,6 +127,14 @@ def write_judgments(judgments: DataFrame, path: str) -> None:
     judgments.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
 
+def checked(spark: SparkSession, path: str, sha256: str) -> str:
+    """The path of a supplied file, once its SHA-256 is the one that was pinned; another one is an error."""
+    got = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256)).first()
+    if got is None or got[0] != sha256.lower():
+        raise ValueError(f"{path} is not the pinned file")
+    return path
+
+
 def read_beir(spark: SparkSession, root: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """corpus(doc_id, title, text), the judged queries(query_id, text), qrels(query_id, doc_id, rel).
 

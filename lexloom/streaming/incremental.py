@@ -79,9 +79,9 @@ def current_index(spark: SparkSession, out: str, analyzer: Analyzer = Analyzer()
     return assemble(chunks_, materialize(counted.select("corpus", "term", "chunk_ix", "tf_title", "tf_heading", "tf_body"), "counted"), analyzer)
 
 
-def watch(spark: SparkSession, source: str, out: str, provider: Provider | None = None, analyzer: Analyzer = Analyzer(), once: bool = True) -> StreamingQuery:
+def watch(spark: SparkSession, source: str, out: str, provider: Provider | None = None, analyzer: Analyzer = Analyzer(), once: bool = True, debounce: str = "1 second") -> StreamingQuery:
     """Follows a folder of Parquet document files. ``once`` handles what is there and stops; otherwise new
-    files are taken as they come. The checkpoint beside the output makes each file count once."""
+    files are taken as they come, those of one ``debounce`` together. The checkpoint beside the output makes each file count once."""
     stream = spark.readStream.schema(DOCUMENTS).parquet(source)
 
     def apply(batch: DataFrame, generation: int) -> None:
@@ -92,4 +92,4 @@ def watch(spark: SparkSession, source: str, out: str, provider: Provider | None
             held.unpersist()
 
     write = stream.writeStream.option("checkpointLocation", f"{out}/checkpoint").foreachBatch(apply)
-    return (write.trigger(availableNow=True) if once else write.trigger(processingTime="1 second")).start()
+    return (write.trigger(availableNow=True) if once else write.trigger(processingTime=debounce)).start()

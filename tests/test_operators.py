@@ -356,3 +356,29 @@ def test_stream_index_and_removal(spark, tmp_path):
     assert [r.document_id for r in run(spark, incremental.current_index(spark, out), "canvas ")] == ["b"]
     same = spark.createDataFrame([("a", "/a", x, "y", "c", None) for x in ("one", "two")], incremental.DOCUMENTS)
     assert [r.title for r in incremental.latest(same).collect()] == ["two"]
+
+
+def test_config_files_and_sites(spark, tmp_path):
+    import hashlib
+    import json
+
+    from lexloom.plans import config
+
+    (tmp_path / "site" / "a").mkdir(parents=True)
+    (tmp_path / "site" / "a" / "index.html").write_text("<html><head><title>T</title></head><body><main><h1>Canvas</h1><p>draw on it</p></main></body></html>")
+    assert config.build_site(spark, str(tmp_path / "site"), str(tmp_path / "out"))["site"] == {"documents": 1, "chunks": 1, "cached": 0, "embedded": 0}
+    assert [r.document_id for r in run(spark, config.Searcher(spark, str(tmp_path / "out")).index(), "canvas ")] == ["/a"]
+    provider = vectors.hashing_provider(4, "named")
+    config.register_provider(provider)
+    path = tmp_path / "c.json"
+    path.write_text(json.dumps({"corpora": {"docs": {"options": {"root": str(tmp_path / "site")}, "include": ["/**"], "filters": ["lang"], "stemmer": "en", "vectors": {"provider": provider.id, "mode": "runtime"}}}}))
+    got = config.load_config(spark, str(path))["docs"]
+    assert got.analyzer.stemmer == "en" and got.columns == ("lang",) and got.vectors.mode == "runtime" and got.modes == config.MODES
+    for bad in ({}, {"corpora": {}}, {"corpora": {"a": {"fields": 1}}}, {"corpora": {"a": {"vectors": {"provider": "none"}}}}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(ValueError):
+            config.load_config(spark, str(path))
+    raw = path.read_bytes()
+    assert documents.checked(spark, str(path), hashlib.sha256(raw).hexdigest()) == str(path)
+    with pytest.raises(ValueError):
+        documents.checked(spark, str(path), "0" * 64)
