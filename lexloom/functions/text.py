@@ -40,7 +40,11 @@ def fold_text(word: str) -> str:
 
 
 def fold(word: Column) -> Column:
-    """``fold_text`` of a column; Spark folds plain ASCII, Python only what is left."""
+    """``fold_text`` of a column; Spark folds plain ASCII, Python only what is left.
+
+    The function counts as nondeterministic, which it is not, so that a filter on the result is neither moved
+    below an aggregate nor makes the words go through Python a second time.
+    """
 
     @F.pandas_udf("string")
     def rest(words: pd.Series) -> pd.Series:
@@ -48,7 +52,7 @@ def fold(word: Column) -> Column:
         return pd.Series([seen.get(w) for w in words], dtype=object)
 
     plain = word.rlike(r"^[\x00-\x7f]*$")
-    return F.when(plain, F.lower(word)).otherwise(rest(F.when(~plain, word)))
+    return F.when(plain, F.lower(word)).otherwise(rest.asNondeterministic()(F.when(~plain, word)))
 
 
 @dataclass(frozen=True)
