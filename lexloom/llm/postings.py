@@ -17,7 +17,8 @@ def fold(term: str) -> str:
 
 
 def folded(term: Column) -> Column:
-    """``fold`` of a column. Plain ASCII is folded by Spark; only other terms are worked on in Python."""
+    """``fold`` of a column. Plain ASCII is folded by Spark; only other terms are worked on in Python. It counts
+    as nondeterministic, which it is not, so that a filter on the result does not repeat the work."""
 
     @F.pandas_udf("string")
     def rest(terms: pd.Series) -> pd.Series:
@@ -25,7 +26,7 @@ def folded(term: Column) -> Column:
         return pd.Series([seen.get(t) for t in terms], dtype=object)
 
     ascii_only = term.rlike(r"^[\x20-\x7e]*$")
-    return F.when(ascii_only, F.trim(F.lower(term))).otherwise(rest(F.when(~ascii_only, term)))
+    return F.when(ascii_only, F.trim(F.lower(term))).otherwise(rest.asNondeterministic()(F.when(~ascii_only, term)))
 
 
 def current_postings(v1: DataFrame, v2: DataFrame) -> DataFrame:
