@@ -1,28 +1,34 @@
 """Problem 10: reading level of documents (surprisal under n-gram models, isotonic regression).
 
-On a bounded, labelled sample of every language three interpolated trigram models are trained, of its
-plain, its middling and its demanding texts; sentence ends are words of their own, so the length of
-sentences counts. The labels come from a published readability formula. For every document the surprisal
-of each of its words under the models is taken; how it is distributed is fitted to the labels on the half
-of the sample that trained no model, and isotonic regression maps the fit to a grade. The grade alone
-places a document: the formula is a label of the sample and otherwise only reported.
+In every language three trigram models are counted over all texts, of its plain, its middling and its
+demanding ones; sentence ends are words of their own, so the length of sentences counts. The labels come
+from a published readability formula. For every document the surprisal of each of its words is taken under
+the models of all other texts: its own counts are left out. How the surprisals are distributed is fitted to
+the labels of all texts, and isotonic regression over all of them maps the fit to a grade. The grade alone
+places a document: the formula is a label and otherwise only reported.
+
+Counts stay distributed. Texts are cut in portions; each portion asks for the counts of its own n-grams once.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of the labelled sample: texts a language, characters a text, languages with a level of their own (all
-# others share one); and of the vocabulary of a language.
-SAMPLE, SAMPLE_CHARS, LANGUAGES, VOCABULARY = 2500, 10_000, 15, 60_000
+from lexloom.operators.scan import range_layout, running_sum
+from lexloom.runtime import materialize, partitions
+
+# Texts that a language needs for a level of its own, and texts of a group before thirds take its place; words of a
+# portion, and n-grams whose counts are added together; observations that the next shorter n-gram counts for, and the chance of a word before any is counted.
+FEWEST, GROUP, PORTION, BUCKET, PRIOR, EVEN = 12, 10, 1 << 19, 1 << 21, 4.0, 1 / 60_000
 EASY, HARD = 6.0, 14.5
 # The least LIX of each school year from the 2nd to the 13th, as published for that index.
 LIX_YEARS = (10, 15, 20, 24, 28, 32, 36, 40, 44, 48, 52, 56)
@@ -37,7 +43,6 @@ _END = re.compile(r"[.!?…]+[\"'”’)\]]*(?=\s+[\"'“‘(\[]*[^\W\d_a-zß-ö
 _LAST = re.compile(r".*[.!?…][\"'”’)\]]*(?=\s|$)", re.S)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _VOWELS = re.compile(r"[aeiouyà-æè-ïò-öø-üÿœ]+")
-_syllables: dict[str, int] = {}
 
 
 def prose(text: str) -> list[str]:
@@ -57,19 +62,21 @@ def prose(text: str) -> list[str]:
     return out
 
 
-def syllables(word: str) -> int:
-    n = _syllables.get(word)
-    if n is None:
+STOP = "."
+
+
+class _Syllables(dict):
+    def __missing__(self, word: str) -> int:
         n = len(_VOWELS.findall(word))
         if n > 1 and word.endswith("e") and not word.endswith(("le", "ee")):
             n -= 1
-        if len(_syllables) > 500_000:
-            _syllables.clear()
-        n = _syllables[word] = max(1, n)
-    return n
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = n = 0 if word == STOP else max(1, n)
+        return n
 
 
-STOP = "."
+syllables = _Syllables().__getitem__
 
 
 def measure(text: str | None, lang: str | None) -> tuple[list[str], int, float]:
@@ -91,158 +98,354 @@ def measure(text: str | None, lang: str | None) -> tuple[list[str], int, float]:
         return [], 0, float("nan")
     length = n / max(1, sentences)
     if lang == "en":
-        return words, n, 0.39 * length + 11.8 * sum(syllables(w) for w in words if w is not STOP) / n - 15.59
-    lix = length + 100 * sum(len(w) > 6 for w in words) / n
+        return words, n, 0.39 * length + 11.8 * sum(map(syllables, words)) / n - 15.59
+    lix = length + 100 * sum(map((6).__lt__, map(len, words))) / n
     return words, n, 1.0 + sum(lix >= x for x in LIX_YEARS)
 
 
-@dataclass
-class Trigrams:
-    """Counts of one to three words by key, sorted; their weights in the mixture, and the vocabulary's size."""
-
-    keys: list[np.ndarray]
-    counts: list[np.ndarray]
-    weights: np.ndarray
-    size: int
-
-    def parts(self, ids: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        """Relative frequencies given two, one and no words, and the even share, a row a word."""
-        v = np.int64(self.size)
-        one, two = ids, before * v + ids
-        three = (before2 * v + before) * v + ids
-        c1, c2, c3 = (self._count(n, k) for n, k in enumerate((one, two, three)))
-        b1, b2 = self._count(0, before), self._count(1, before2 * v + before)
-        total = max(1.0, float(self.counts[0].sum()))
-        return np.stack([c3 / np.maximum(b2, 1), c2 / np.maximum(b1, 1), c1 / total, np.full(len(ids), 1 / self.size)], axis=1)
-
-    def _count(self, n: int, k: np.ndarray) -> np.ndarray:
-        keys = self.keys[n]
-        if not len(keys):
-            return np.zeros(len(k))
-        at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        return np.where(keys[at] == k, self.counts[n][at], 0)
-
-    def surprisal(self, ids: np.ndarray, before: np.ndarray, before2: np.ndarray) -> np.ndarray:
-        return -np.log2(self.parts(ids, before, before2) @ self.weights)
-
-
-def contexts(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All words with the one and the two before; 1 stands before a text's first word."""
-    start = np.array([1, 1], dtype=np.int64)
-    ids = np.concatenate([np.concatenate([start, t]) for t in texts]) if texts else start
-    real = np.ones(len(ids), dtype=bool)
-    at = np.cumsum([0, *(len(t) + 2 for t in texts)])[:-1] if texts else np.array([0])
-    real[at], real[at + 1] = False, False
-    k = np.flatnonzero(real)
-    return ids[k], ids[k - 1], ids[k - 2]
-
-
-def train(texts: list[np.ndarray], size: int) -> Trigrams:
-    """Counts of the first four fifths of the texts; weights by expectation maximization on the rest."""
-    cut = max(1, len(texts) * 4 // 5)
-    v = np.int64(size)
-    ids, b1, b2 = contexts(texts[:cut])
-    counted = [np.unique(k, return_counts=True) for k in (np.concatenate([ids, np.ones(2 * cut, np.int64)]), np.concatenate([b1 * v + ids, np.full(cut, v + 1)]), (b2 * v + b1) * v + ids)]
-    model = Trigrams([c[0] for c in counted], [c[1].astype(np.float64) for c in counted], np.array([0.5, 0.3, 0.15, 0.05]), size)
-    p = model.parts(*contexts(texts[cut:] or texts[:cut]))
-    for _ in range(12 if len(p) else 0):
-        share = p * model.weights
-        share /= share.sum(1, keepdims=True)
-        model.weights = np.maximum(share.mean(0), 1e-4)
-        model.weights /= model.weights.sum()
-    return model
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        return h
+
+
+_hashes = _Hashes()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def grams(texts: list[np.ndarray], levels: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit keys, a row an order, of the n-grams that end at each word of the texts, whose words are hashes.
+    A start stands before each text's words, with another before it; the last row says which text."""
+    sizes = np.array([len(t) + 1 for t in texts])
+    at = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    text = np.repeat(np.arange(len(texts)), sizes)
+    words = np.ones(len(text), np.uint64)
+    rest = np.ones(len(text), bool)
+    rest[at] = False
+    words[rest] = np.concatenate(texts)
+    one = _mix(words ^ np.array([_hashes[x] for x in levels], np.uint64)[text])
+    before = np.roll(one, 1)
+    before[at] = one[at]
+    two = _mix(before * np.uint64(0x9E3779B97F4A7C15) + one)
+    three = _mix(np.roll(two, 1) * np.uint64(0xD6E8FEB86659FD93) + one)
+    return np.stack([one, two, three]), text, at
+
+
+def _totals(levels: list[str]) -> np.ndarray:
+    return np.array([_hashes["\x00total " + x] for x in levels], np.uint64)
+
+
+def counts(texts: list[np.ndarray], levels: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, rising, of the n-grams of the texts and of all words of their levels, and how often they occur in each group."""
+    keys, text, at = grams(texts, levels)
+    inner = np.ones(len(text), bool)
+    inner[at] = False
+    each = np.concatenate([keys[0], keys[1], keys[2, inner], _totals(levels)])
+    group = np.concatenate([groups[text], groups[text], groups[text[inner]], groups])
+    weights = np.ones(len(each), np.int64)
+    weights[-len(texts) :] = [len(t) for t in texts]
+    back, own = pd.factorize(each)
+    n = np.bincount(back * len(MODELS) + group, weights, len(own) * len(MODELS)).astype(np.int64).reshape(-1, len(MODELS))
+    order = np.argsort(own)
+    return own[order], n[order]
+
+
+def surprisals(texts: list[np.ndarray], levels: list[str], groups: np.ndarray, keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """A row a model, a column a word, from the counts ``held`` of the rising ``keys``; each text's own are left
+    out. A shorter n-gram weighs as ``PRIOR`` observations in the next longer one."""
+    three, text, at = grams(texts, levels)
+    n = len(text)
+    # Third-order keys at a text's start stand for nothing and are not read below.
+    back, each = pd.factorize(three.ravel())
+    place = np.minimum(np.searchsorted(keys, each), len(keys) - 1)[back]
+    pair = pd.factorize(back + np.tile(text, 3) * len(each))[0]
+    own = np.bincount(pair)[pair]
+    inner = np.ones(n, bool)
+    inner[at] = False
+    own = own.reshape(3, n)
+    total, sizes = np.searchsorted(keys, _totals(levels)), np.array([len(t) for t in texts])
+    out = np.empty((len(MODELS), n - len(texts)))
+    for g in range(len(MODELS)):
+        mine = groups == g
+        one, two, three = np.ascontiguousarray(held[:, g])[place].reshape(3, n) - own * mine[text]
+        p = (one + PRIOR * EVEN) / ((held[total, g] - sizes * mine) + PRIOR)[text]
+        p[1:] = (two[1:] + PRIOR * p[1:]) / (one[:-1] + PRIOR)
+        p[1:] = (three[1:] + PRIOR * p[1:]) / (two[:-1] + PRIOR)
+        out[g] = -np.log2(p[inner])
+    return out
+
+
+def distributions(under: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A row a text: mean, spread and quantiles of its words' surprisal under each model, and of the
+    difference between each two models."""
+    pairs = [(i, j) for i in range(len(under)) for j in range(i)]
+    values = np.vstack([under, *[under[i] - under[j] for i, j in pairs]])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    mean = np.add.reduceat(values, starts, axis=1) / sizes
+    std = np.sqrt(np.maximum(0, np.add.reduceat(values**2, starts, axis=1) / sizes - mean**2))
+    out = np.empty((len(sizes), len(values), 2 + len(QUANTILES)))
+    out[:, :, 0], out[:, :, 1] = mean.T, std.T
+    at = np.outer(sizes - 1, QUANTILES)
+    low = np.floor(at).astype(np.int64)
+    for n, (s, k) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
+        own = np.sort(values[:, s : s + k], axis=1)
+        a, b = own[:, low[n]], own[:, np.minimum(low[n] + 1, k - 1)]
+        out[n, :, 2:] = a + (b - a) * (at[n] - low[n])
+    return out
+
+
+def pool(blocks: list[tuple[float, float, float, float]]) -> list[list[float]]:
+    """Pools adjacent violators among blocks (sum of y, number, first x, last x) by rising x. Pooling the
+    blocks of ranges that follow each other gives what pooling all points gives."""
+    out: list[list[float]] = []
+    for block in blocks:
+        out.append(list(block))
+        while len(out) > 1 and out[-2][0] / out[-2][1] >= out[-1][0] / out[-1][1]:
+            s, n, _, last = out.pop()
+            out[-1][0] += s
+            out[-1][1] += n
+            out[-1][3] = last
+    return out
+
+
+def points(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float, float, float]]:
+    """A block for each x."""
+    at, back, n = np.unique(x, return_inverse=True, return_counts=True)
+    return list(zip(np.bincount(back, y, len(at)).tolist(), n.tolist(), at.tolist(), at.tolist(), strict=True))
+
+
+def steps(blocks: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([v for b in blocks for v in b[2:]]), np.array([b[0] / b[1] for b in blocks for _ in range(2)])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pool adjacent violators: the rising step function nearest to ``y``, as knots for interpolation."""
-    order = np.argsort(x, kind="stable")
-    blocks: list[list[float]] = []  # sum of y, number, first x, last x
-    for a, b in zip(x[order].tolist(), y[order].tolist(), strict=True):
-        blocks.append([b, 1, a, a])
-        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
-            s, n, _, last = blocks.pop()
-            blocks[-1][0] += s
-            blocks[-1][1] += n
-            blocks[-1][3] = last
-    return np.array([v for b in blocks for v in b[2:]]), np.array([b[0] / b[1] for b in blocks for _ in range(2)])
+    return steps(pool(points(x, y)))
 
 
 @dataclass
 class Level:
-    """What grades one language: vocabulary, models, the fit of the surprisals' distribution, and the map to grades."""
+    """The fit of a language's distributions to the labels, and the map to grades."""
 
-    words: dict[str, int]
-    models: list[Trigrams]
     centre: np.ndarray
     spread: np.ndarray
     fit: np.ndarray
-    knots: np.ndarray
-    grades: np.ndarray
-
-    def ids(self, words: list[str]) -> np.ndarray:
-        return np.fromiter((self.words.get(w, 0) for w in words), dtype=np.int64, count=len(words))
-
-    def surprisals(self, texts: list[np.ndarray]) -> np.ndarray:
-        """A row a model, a column a word. Equal words in equal contexts are looked up once."""
-        ids, before, before2 = contexts(texts)
-        v = np.int64(len(self.words) + 2)
-        each, back = np.unique((before2 * v + before) * v + ids, return_inverse=True)
-        ids, rest = each % v, each // v
-        return np.stack([m.surprisal(ids, rest % v, rest // v)[back] for m in self.models])
-
-    def distributions(self, texts: list[np.ndarray]) -> np.ndarray:
-        """A row a text: mean, spread and quantiles of its words' surprisal under each model, and of the
-        difference between each two models."""
-        under = self.surprisals(texts)
-        pairs = [(i, j) for i in range(len(under)) for j in range(i)]
-        values = np.vstack([under, *[under[i] - under[j] for i, j in pairs]])
-        sizes = np.array([len(t) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        mean = np.add.reduceat(values, starts, axis=1) / sizes
-        std = np.sqrt(np.maximum(0, np.add.reduceat(values**2, starts, axis=1) / sizes - mean**2))
-        out = np.empty((len(texts), len(values), 2 + len(QUANTILES)))
-        out[:, :, 0], out[:, :, 1] = mean.T, std.T
-        at = np.outer(sizes - 1, QUANTILES)
-        low = np.floor(at).astype(np.int64)
-        for n, (s, k) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-            own = np.sort(values[:, s : s + k], axis=1)
-            a, b = own[:, low[n]], own[:, np.minimum(low[n] + 1, k - 1)]
-            out[n, :, 2:] = a + (b - a) * (at[n] - low[n])
-        return out
+    knots: np.ndarray | None = None
+    grades: np.ndarray | None = None
+
+    @staticmethod
+    def fitted(n: float, mean: np.ndarray, scatter: np.ndarray) -> Level:
+        """From number, mean and scatter of (distribution, label)."""
+        spread = np.sqrt(np.diag(scatter)[:-1] / n) + 1e-9
+        zz, zy = scatter[:-1, :-1] / np.outer(spread, spread), scatter[:-1, -1] / spread
+        return Level(mean[:-1], spread, np.append(np.linalg.solve(zz + np.eye(len(zz)), zy), n * mean[-1] / (n + 1)))
 
     def raw(self, shapes: np.ndarray) -> np.ndarray:
-        x = (shapes.reshape(len(shapes), -1) - self.centre) / self.spread
-        return np.hstack([x, np.ones((len(x), 1))]) @ self.fit
-
-    def grade(self, shapes: np.ndarray) -> np.ndarray:
-        return np.interp(self.raw(shapes), self.knots, self.grades)
-
-
-def fit(sample: list[tuple[list[str], float]]) -> Level | None:
-    """A language's level from (words, formula grade) pairs; none where fewer than twelve have prose."""
-    sample = [(w, g) for w, g in sample if w]
-    if len(sample) < 12:
-        return None
-    learn, check = sample[::2], sample[1::2]
-    common = Counter(w for words, _ in learn for w in words).most_common(VOCABULARY)
-    vocabulary = {w: k for k, (w, _) in enumerate(common, 2)}
-    groups = [[s for s in learn if s[1] <= EASY], [s for s in learn if EASY < s[1] < HARD], [s for s in learn if s[1] >= HARD]]
-    if min(map(len, groups)) < 10:
-        ranked = sorted(learn, key=lambda s: s[1])
-        third = max(1, len(ranked) // 3)
-        groups = [ranked[:third], ranked[third:-third], ranked[-third:]]
-    level = Level(vocabulary, [], *[np.zeros(1)] * 5)
-    level.models = [train([level.ids(w) for w, _ in some], len(vocabulary) + 2) for some in groups]
-    shapes, y = level.distributions([level.ids(w) for w, _ in check]), np.array([g for _, g in check])
-    flat = shapes.reshape(len(shapes), -1)
-    level.centre, level.spread = flat.mean(0), flat.std(0) + 1e-9
-    z = np.hstack([(flat - level.centre) / level.spread, np.ones((len(flat), 1))])
-    level.fit = np.linalg.solve(z.T @ z + np.eye(z.shape[1]), z.T @ y)
-    level.knots, level.grades = isotonic(level.raw(shapes), y)
-    return level
+        return np.hstack([(shapes - self.centre) / self.spread, np.ones((len(shapes), 1))]) @ self.fit
+
+
+def together(some: list[tuple[float, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number, mean and scatter about it of all points, from those of parts of them."""
+    n = sum(x[0] for x in some)
+    mean = sum(x[0] * x[1] for x in some) / n
+    return n, mean, sum(s + k * np.outer(m - mean, m - mean) for k, m, s in some)
 
 
 OTHERS = "\x00others"
+# Ids that are null are 0 and marked, since longs with nulls would reach pandas as floats.
+MEASURED = "portion long, doc_id long, unnamed boolean, lang string, words int, formula_grade double, tokens binary"
+SHAPES = "doc_id long, unnamed boolean, lang string, words int, formula_grade double, level string, shape array<double>"
+
+
+def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    portion, room = TaskContext.get().partitionId() << 32, PORTION
+    for rows in batches:
+        out = []
+        for doc_id, unnamed, text, lang in zip(rows.doc_id, rows.unnamed, rows.text, rows.lang, strict=True):
+            lang = lang if isinstance(lang, str) else None
+            words, n, grade = measure(text, lang) if isinstance(text, str) else ([], 0, float("nan"))
+            if len(words) > room:
+                portion, room = portion + 1, PORTION
+            room -= len(words)
+            out.append((portion, doc_id, unnamed, lang, n, grade, np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).tobytes()))
+        yield pd.DataFrame(out, columns=["portion", "doc_id", "unnamed", "lang", "words", "formula_grade", "tokens"])
+
+
+TIE, NAME = "xxhash64(doc_id, tokens) AS tie", "coalesce(lang, char(0)) AS name"
+
+
+def _cuts(measured: DataFrame) -> dict[str, tuple | None]:
+    """The levels. Groups of texts are those up to ``EASY``, from ``HARD`` on and between; where one would have
+    under ``GROUP`` texts they are thirds by (grade, tie), and the first of the second and third are given."""
+    prose = measured.where("words > 0").selectExpr(NAME, "formula_grade", TIE)
+    held = prose.groupBy("name").agg(F.count(F.lit(1)), F.count_if(F.col("formula_grade") <= EASY), F.count_if(F.col("formula_grade") >= HARD)).collect()
+    sizes: dict[str, list[int]] = {}
+    for name, *n in held:
+        own = sizes.setdefault(name if n[0] >= FEWEST else OTHERS, [0, 0, 0])
+        own[:] = [a + b for a, b in zip(own, n, strict=True)]
+    sizes = {k: n for k, n in sizes.items() if n[0] >= FEWEST}
+    cuts: dict[str, tuple | None] = dict.fromkeys(sizes)
+    thirds = {k: n for k, (n, low, high) in sizes.items() if min(low, high, n - low - high) < GROUP}
+    if thirds:
+        spark = measured.sparkSession
+        known = F.broadcast(spark.createDataFrame([(k,) for k in sizes], "name string").withColumn("known", F.lit(True)))
+        places = F.broadcast(spark.createDataFrame([(k, max(1, n // 3), n - max(1, n // 3)) for k, n in thirds.items()], "level string, low long, high long"))
+        level = prose.join(known, "name", "left").select(F.when(F.col("known"), F.col("name")).otherwise(OTHERS).alias("level"), "formula_grade", "tie")
+        order = ["formula_grade", "tie"]
+        ranked = running_sum(range_layout(level.join(places, "level"), ["level"], order), ["level"], order, F.lit(1), "rank")
+        for r in ranked.where("rank IN (low + 1, high + 1)").orderBy("level", "rank").collect():
+            cuts[r.level] = (*(cuts[r.level] or ()), (r.formula_grade, r.tie))
+    return cuts
+
+
+def _group(cuts: tuple | None, grade: float, tie: int) -> int:
+    if cuts is None:
+        return 0 if grade <= EASY else 2 if grade >= HARD else 1
+    return sum((grade, tie) >= c for c in cuts)
+
+
+def _placed(rows: pd.DataFrame, cuts: dict[str, tuple | None]) -> tuple[list[np.ndarray], list[str], np.ndarray]:
+    levels = [x if x in cuts else OTHERS for x in rows.name]
+    groups = [_group(cuts[x], g, t) for x, g, t in zip(levels, rows.formula_grade, rows.tie, strict=True)]
+    return [np.frombuffer(t, np.uint64) for t in rows.tokens], levels, np.array(groups)
+
+
+def _by(column: str, batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
+    """The rows of each value of ``column``, whose rows stand together."""
+    at, held = None, []
+    for rows in batches:
+        for x, own in rows.groupby(column, sort=False):
+            if x != at and held:
+                yield at, pd.concat(held, ignore_index=True)
+                held = []
+            at = x
+            held.append(own)
+    if held:
+        yield at, pd.concat(held, ignore_index=True)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit values, their first bytes together, then their second and so on: small and neighbouring ones compress."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(planes: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def _joined(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all rows, and a row of counts for each."""
+    keys, n = ([_values(x, kind) for x in rows[c]] for c, kind in (("keys", np.uint64), ("held", np.int64)))
+    return np.concatenate(keys), np.concatenate([x.reshape(-1, len(MODELS)) for x in n])
+
+
+def _shaped(measured: DataFrame, cuts: dict[str, tuple | None]) -> DataFrame:
+    """``measured`` with each text's level and distributions; null where it has no prose or level."""
+    spark = measured.sparkSession
+    shared = spark.sparkContext.broadcast(cuts)
+    portions, words = measured.agg(F.count_distinct("portion"), F.coalesce(F.sum("words"), F.lit(0))).first()
+    buckets = max(partitions(spark), 3 * words // BUCKET)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for portion, rows in _by("portion", batches):
+            rows = rows[rows.name.isin(shared.value)] if OTHERS not in shared.value else rows
+            if len(rows):
+                keys, n = counts(*_placed(rows, shared.value))
+                bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+                own, first = np.unique(bucket, return_index=True)
+                cuts = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
+                yield pd.DataFrame({"bucket": own.astype(np.int64), "portion": portion, "keys": [_planes(keys[a:b]) for a, b in cuts], "held": [_planes(n[a:b]) for a, b in cuts]})
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _by("bucket", batches):
+            keys, n = _joined(rows)
+            back, each = pd.factorize(keys)
+            sums = np.stack([np.bincount(back, n[:, k], len(each)) for k in range(len(MODELS))], axis=1).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum([len(k) // 8 for k in rows["keys"]])]).tolist()
+            held = [_planes(sums[back[a:b]]) for a, b in zip(at, at[1:], strict=False)]
+            yield pd.DataFrame({"portion": rows.portion, "keys": rows["keys"], "held": held})
+
+    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, rows in _by("portion", batches):
+            asked = rows.doc.to_numpy(dtype=bool)
+            docs, held = rows[asked].reset_index(drop=True), rows[~asked]
+            docs["level"], docs["shape"] = None, None
+            at = np.flatnonzero(((docs.words > 0) & (docs.name.isin(shared.value) | (OTHERS in shared.value))).to_numpy())
+            if len(at):
+                texts, levels, groups = _placed(docs.iloc[at], shared.value)
+                keys, n = _joined(held)
+                keys, first = np.unique(keys, return_index=True)
+                n = n[first]
+                shapes = distributions(surprisals(texts, levels, groups, keys, n), np.array([len(t) for t in texts]))
+                for c, values in (("level", levels), ("shape", shapes.reshape(len(at), -1))):
+                    out = np.full(len(docs), None, dtype=object)
+                    for k, v in zip(at.tolist(), values, strict=True):
+                        out[k] = v
+                    docs[c] = out
+            yield docs[["doc_id", "unnamed", "lang", "words", "formula_grade", "level", "shape"]]
+
+    named = measured.selectExpr("*", NAME, TIE)
+    asked = named.where("words > 0").select("portion", "name", "formula_grade", "tie", "tokens")
+    counted = asked.mapInPandas(count, "bucket long, portion long, keys binary, held binary")
+    added = counted.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInPandas(add, "portion long, keys binary, held binary")
+    nothing = {"doc_id": F.lit(0), "unnamed": F.lit(False), "lang": F.lit(None), "name": F.lit(""), "words": F.lit(0), "formula_grade": F.lit(0.0), "tie": F.lit(0), "tokens": F.lit(None)}
+    found = added.select(F.lit(False).alias("doc"), "portion", "keys", "held", *[x.alias(c) for c, x in nothing.items()])
+    docs = named.select(F.lit(True).alias("doc"), "portion", F.lit(None).alias("keys"), F.lit(None).alias("held"), *nothing)
+    met = found.unionByName(docs).repartition(max(partitions(spark), portions), "portion").sortWithinPartitions("portion", "doc")
+    return materialize(met.mapInPandas(shape, SHAPES), "shapes")
+
+
+def _levels(shapes: DataFrame) -> dict[str, Level]:
+    """Fits and maps of all levels over all their texts. Partitions send sums of products and pooled blocks."""
+    spark = shapes.sparkSession
+    known = shapes.where("level IS NOT NULL").select("level", "shape", "formula_grade")
+
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, tuple] = {}
+        for rows in batches:
+            for level, own in rows.groupby("level"):
+                x = np.hstack([np.stack(own["shape"].to_numpy()), own.formula_grade.to_numpy()[:, None]])
+                part = (float(len(x)), x.mean(0), (x - x.mean(0)).T @ (x - x.mean(0)))
+                held[level] = together([held[level], part]) if level in held else part
+        if held:
+            yield pd.DataFrame([(level, n, mean, scatter.ravel()) for level, (n, mean, scatter) in held.items()], columns=["level", "n", "mean", "scatter"])
+
+    def parts(rows: pd.DataFrame) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        return [(n, np.asarray(mean), np.asarray(scatter).reshape(len(mean), -1)) for n, mean, scatter in zip(rows.n, rows["mean"], rows.scatter, strict=True)]
+
+    def added(rows: pd.DataFrame) -> pd.DataFrame:
+        n, mean, scatter = together(parts(rows))
+        return pd.DataFrame({"level": rows.level.iloc[:1].to_list(), "n": [n], "mean": [mean], "scatter": [scatter.ravel()]})
+
+    schema = "level string, n double, mean array<double>, scatter array<double>"
+    got = known.mapInPandas(moments, schema).groupBy("level").applyInPandas(added, schema).toPandas()
+    levels = {level: Level.fitted(*part) for level, part in zip(got.level, parts(got), strict=True)}
+    fitted = spark.sparkContext.broadcast(levels)
+
+    def raw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for level, own in rows.groupby("level"):
+                yield pd.DataFrame({"level": level, "raw": fitted.value[level].raw(np.stack(own["shape"].to_numpy())), "y": own.formula_grade.to_numpy()})
+
+    def pooled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[str, list] = {}
+        for rows in batches:
+            for level, own in rows.groupby("level"):
+                held[level] = pool([*held.get(level, []), *points(own.raw.to_numpy(), own.y.to_numpy())])
+        yield pd.DataFrame([(level, *b) for level, blocks in held.items() for b in blocks], columns=["level", "s", "n", "first", "last"])
+
+    laid = materialize(known.mapInPandas(raw, "level string, raw double, y double"), "raw").repartitionByRange(partitions(spark), "level", "raw").sortWithinPartitions("level", "raw")
+    blocks = laid.mapInPandas(pooled, "level string, s double, n double, first double, last double").toPandas().sort_values(["level", "first"])
+    for level, own in blocks.groupby("level"):
+        levels[level].knots, levels[level].grades = steps(pool(list(own[["s", "n", "first", "last"]].itertuples(index=False, name=None))))
+    return levels
 
 
 def graded(documents: DataFrame) -> DataFrame:
@@ -250,51 +453,29 @@ def graded(documents: DataFrame) -> DataFrame:
     under each model, grade), over its whole prose.
 
     ``documents(doc_id, text, lang)``. Texts without prose, null and empty ones have 0 words and null
-    figures. A null language is one of its own. Languages beyond the ``LANGUAGES`` most frequent share one
-    level, as do those with fewer than twelve texts in the sample; if that has fewer too, their grade and
-    surprisals are null. An empty table gives no rows.
+    figures. A null language is one of its own. Languages with fewer than ``FEWEST`` texts with prose share
+    one level; if that has fewer too, their grade and surprisals are null. An empty table gives no rows.
     """
     spark = documents.sparkSession
-    docs = documents.select("doc_id", "text", "lang")
-    ranked = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang")
-    sizes = {r.lang: r.n for r in ranked.take(LANGUAGES)}
-    rest = docs.count() - sum(sizes.values())
-    part = lambda n: int(min(1.0, SAMPLE / max(n, 1)) * 1_000_000)
-    share = F.coalesce(*[F.when(F.col("lang").eqNullSafe(F.lit(k)), F.lit(part(n))) for k, n in sizes.items()], F.lit(part(rest)))
-    some = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share) & (F.length("text") <= SAMPLE_CHARS))
-    labelled: dict[str | None, list] = {}
-    for r in some.select("lang", "text").toLocalIterator():
-        words, _, g = measure(r.text, r.lang)
-        if words:
-            labelled.setdefault(r.lang if r.lang in sizes else OTHERS, []).append((words, g))
-    for k in [k for k, held in labelled.items() if len(held) < 12 and k != OTHERS]:
-        labelled.setdefault(OTHERS, []).extend(labelled.pop(k))
-    levels = spark.sparkContext.broadcast({k: level for k, held in labelled.items() if (level := fit(held))})
+    docs = documents.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "lang")
+    measured = materialize(docs.mapInPandas(_measured, MEASURED), "measured")
+    shapes = _shaped(measured, _cuts(measured))
+    levels = spark.sparkContext.broadcast(_levels(shapes))
     columns = [c.split()[0] for c in GRADES.split(", ")]
     shown = [0, 2 + QUANTILES.index(0.5), 2 + QUANTILES.index(0.9)]
 
     def grade(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            langs = [x if isinstance(x, str) else None for x in rows.lang]
-            got = [measure(t, x) if isinstance(t, str) else ([], 0, float("nan")) for t, x in zip(rows.text, langs, strict=True)]
-            out = pd.DataFrame({"doc_id": rows.doc_id, "lang": pd.Series(langs, dtype=object, index=rows.index), "words": [g[1] for g in got], "formula_grade": [g[2] for g in got]})
-            for c in columns[4:]:
-                out[c] = np.nan
-            keys = [x if x in levels.value else OTHERS for x in langs]
-            for key in set(keys):
-                level = levels.value.get(key)
-                at = [n for n, x in enumerate(keys) if x == key and got[n][0]]
-                # In portions, so that a batch of long texts takes no more room than its words.
-                for p in range(0, len(at) if level else 0, 500):
-                    own = at[p : p + 500]
-                    shapes = level.distributions([level.ids(got[n][0]) for n in own])
-                    where = out.index[own]
-                    out.loc[where, columns[4:-1]] = shapes[:, : len(MODELS), shown].reshape(len(own), -1)
-                    out.loc[where, "grade"] = level.grade(shapes)
+            out = rows[["doc_id", "unnamed", "lang", "words", "formula_grade"]].assign(**dict.fromkeys(columns[4:], np.nan))
+            for name, own in rows[rows.level.notna()].groupby("level"):
+                level, x = levels.value[name], np.stack(own["shape"].to_numpy())
+                out.loc[own.index, columns[4:-1]] = x.reshape(len(x), -1, 2 + len(QUANTILES))[:, : len(MODELS), shown].reshape(len(x), -1)
+                out.loc[own.index, "grade"] = np.interp(level.raw(x), level.knots, level.grades)
             yield out
 
-    raw = docs.mapInPandas(grade, GRADES)
-    return raw.select("doc_id", "lang", "words", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in columns[3:]])
+    made = shapes.mapInPandas(grade, GRADES.replace("doc_id long", "doc_id long, unnamed boolean"))
+    doc_id = F.when(~F.col("unnamed"), F.col("doc_id")).alias("doc_id")
+    return made.select(doc_id, "lang", "words", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in columns[3:]])
 
 
 def banded(grades: DataFrame) -> DataFrame:

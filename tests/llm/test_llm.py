@@ -495,6 +495,81 @@ def test_reading(spark):
     assert reading.prose("Title\n\nOne line goes\non here. And ends\nthere. Rest\n\n- item.\nSee /a/b/c now.") == ["One line goes on here. And ends there.", "See   now."]
 
 
+def test_reading_counts_every_text(spark, monkeypatch):
+    # 6,000 texts, more than any sample of them, of words that no other text of the first 3,000 has; one is longer than 10,000 characters.
+    monkeypatch.setattr(reading, "PORTION", 4000, raising=False)
+    rng = random.Random(1)
+    texts = [(k, " ".join(f"{rng.choice('bcd')}{'a' * rng.randint(1, 9)}{rng.choice('xyz')}" for _ in range(rng.randint(3, 25))).capitalize() + ".") for k in range(6000)]
+    texts[17] = (17, " ".join(t for _, t in texts[3000:3200]))
+    rows = [(k, t, "l1") for k, t in texts] + [(10_000 + k, t, f"m{k % 20}") for k, t in texts[:400]] + [(None, "Ba caax.", "l1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in reading.graded(df).collect()}
+    assert len(got) == len(rows) and None in got
+    # Brute force: the counts of the other texts of each group, thirds by grade (no group by the fixed limits has few texts here).
+    measured = {k: reading.measure(t, "l1") for k, t, lang in rows if lang == "l1"}
+    group = lambda g: 0 if g <= reading.EASY else 2 if g >= reading.HARD else 1
+    n = [sum(group(m[2]) == g for m in measured.values()) for g in range(3)]
+    ranked = sorted(measured.values(), key=lambda m: m[2])
+    third = len(ranked) // 3
+    assert min(n) < 10 and ranked[third - 1][2] <= ranked[third][2]
+    held = [{}, {}, {}]
+    total, own_group = [0, 0, 0], {}
+
+    def occurrences(words):
+        pad = ["\x00", "\x00", *words]
+        out = [("\x00",), ("\x00", "\x00")]
+        for i in range(2, len(pad)):
+            out += [(pad[i],), (pad[i - 1], pad[i]), (pad[i - 2], pad[i - 1], pad[i])]
+        return out
+
+    # Texts at a limit of the thirds are told apart by a hash, so each text's group is taken from the operator's own rule.
+    cuts = reading._cuts(spark.createDataFrame([(0, k, k is None, "l1", m[1], m[2], b"".join(reading._hashes[w].to_bytes(8, "little") for w in m[0])) for k, m in measured.items()], reading.MEASURED).fillna(0, ["doc_id"]))
+    ties = {r.doc_id: r.tie for r in spark.createDataFrame([(k or 0, b"".join(reading._hashes[w].to_bytes(8, "little") for w in m[0])) for k, m in measured.items() if k], "doc_id long, tokens binary").selectExpr("doc_id", reading.TIE).collect()}
+    for k, m in measured.items():
+        own_group[k] = reading._group(cuts["l1"], m[2], ties.get(k, 0))
+        total[own_group[k]] += len(m[0])
+        for x in occurrences(m[0]):
+            held[own_group[k]][x] = held[own_group[k]].get(x, 0) + 1
+    sizes = [sum(g == x for g in own_group.values()) for x in range(3)]
+    assert max(sizes) - min(sizes) <= 4
+    for k in (0, 17, 2500, 5999):
+        words = measured[k][0]
+        for g, name in enumerate(reading.MODELS):
+            mine = {}
+            if own_group[k] == g:
+                for x in occurrences(words):
+                    mine[x] = mine.get(x, 0) + 1
+            c = lambda x, g=g, mine=mine: held[g].get(x, 0) - mine.get(x, 0)
+            pad, sums = ["\x00", "\x00", *words], 0.0
+            for i in range(2, len(pad)):
+                p = (c((pad[i],)) + reading.PRIOR * reading.EVEN) / (total[g] - (len(words) if own_group[k] == g else 0) + reading.PRIOR)
+                p = (c((pad[i - 1], pad[i])) + reading.PRIOR * p) / (c((pad[i - 1],)) + reading.PRIOR)
+                p = (c((pad[i - 2], pad[i - 1], pad[i])) + reading.PRIOR * p) / (c((pad[i - 2], pad[i - 1])) + reading.PRIOR)
+                sums -= np.log2(p)
+            assert abs(sums / len(words) - getattr(got[k], f"{name}_mean")) < 1e-6
+    # Twenty languages of twenty texts each have a level of their own, not only the most frequent fifteen.
+    assert all(got[10_000 + k].grade is not None for k in range(400))
+    assert len({reading.OTHERS} & set(reading._cuts(spark.createDataFrame([(0, k, False, f"m{k % 20}", 3, float(k % 7), b"") for k in range(400)], reading.MEASURED)))) == 0
+
+
+def test_pooled_ranges_equal_the_whole():
+    rng = np.random.default_rng(2)
+    x = np.sort(np.round(rng.random(500), 2))
+    y = 2 * x + rng.normal(size=500)
+    parts = [b for k in np.split(np.arange(500), np.unique(np.searchsorted(x, [0.2, 0.5, 0.7]))) for b in reading.pool(reading.points(x[k], y[k]))]
+    for a, b in zip(reading.steps(reading.pool(parts)), reading.isotonic(x, y), strict=True):
+        assert np.allclose(a, b)
+
+
+def test_fit_from_parts_equals_the_whole():
+    rng = np.random.default_rng(8)
+    x = np.hstack([rng.normal(50, 2, size=(300, 4)), np.full((300, 1), 7.1), rng.normal(size=(300, 1))])
+    of = lambda p: (float(len(p)), p.mean(0), (p - p.mean(0)).T @ (p - p.mean(0)))
+    level = reading.Level.fitted(*reading.together([of(x[:10]), of(x[10:200]), of(x[200:])]))
+    z = np.hstack([(x[:, :-1] - x[:, :-1].mean(0)) / (x[:, :-1].std(0) + 1e-9), np.ones((300, 1))])
+    assert np.allclose(level.raw(x[:, :-1]), z @ np.linalg.solve(z.T @ z + np.eye(6), z.T @ x[:, -1]), atol=1e-6)
+
+
 def test_isotonic_rises():
     rng = np.random.default_rng(1)
     x = rng.random(200)
