@@ -19,6 +19,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +28,8 @@ from lexloom.operators.scan import range_layout, running_sum
 from lexloom.runtime import materialize, partitions
 
 # Texts that a language needs for a level of its own, and texts of a group before thirds take its place; words of a
-# portion, and n-grams whose counts are added together; observations that the next shorter n-gram counts for, and the chance of a word before any is counted.
-FEWEST, GROUP, PORTION, BUCKET, PRIOR, EVEN = 12, 10, 1 << 19, 1 << 21, 4.0, 1 / 60_000
+# portion, n-grams whose counts are added together, and words of texts looked up at a time; observations that the next shorter n-gram counts for, and the chance of a word before any is counted.
+FEWEST, GROUP, PORTION, BUCKET, SLICE, PRIOR, EVEN = 12, 10, 1 << 19, 1 << 21, 1 << 16, 4.0, 1 / 60_000
 EASY, HARD = 6.0, 14.5
 # The least LIX of each school year from the 2nd to the 13th, as published for that index.
 LIX_YEARS = (10, 15, 20, 24, 28, 32, 36, 40, 44, 48, 52, 56)
@@ -142,19 +143,30 @@ def _totals(levels: list[str]) -> np.ndarray:
     return np.array([_hashes["\x00total " + x] for x in levels], np.uint64)
 
 
+def _slices(sizes: np.ndarray) -> list[slice]:
+    """Texts that follow each other, of about ``SLICE`` words together."""
+    ends = (np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE, append=-1)) + 1).tolist()
+    return [slice(a, b) for a, b in zip([0, *ends], ends, strict=False)]
+
+
 def counts(texts: list[np.ndarray], levels: list[str], groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys, rising, of the n-grams of the texts and of all words of their levels, and how often they occur in each group."""
-    keys, text, at = grams(texts, levels)
-    inner = np.ones(len(text), bool)
-    inner[at] = False
-    each = np.concatenate([keys[0], keys[1], keys[2, inner], _totals(levels)])
-    group = np.concatenate([groups[text], groups[text], groups[text[inner]], groups])
-    weights = np.ones(len(each), np.int64)
-    weights[-len(texts) :] = [len(t) for t in texts]
-    back, own = pd.factorize(each)
-    n = np.bincount(back * len(MODELS) + group, weights, len(own) * len(MODELS)).astype(np.int64).reshape(-1, len(MODELS))
-    order = np.argsort(own)
-    return own[order], n[order]
+    sizes, each = np.array([len(t) for t in texts]), [[] for _ in MODELS]
+    for c in _slices(sizes):
+        keys, text, at = grams(texts[c], levels[c])
+        inner = np.ones(len(text), bool)
+        inner[at] = False
+        for g, own in enumerate(each):
+            mine = groups[c][text] == g
+            own += [keys[0, mine], keys[1, mine], keys[2, mine & inner]]
+    totals = _totals(levels)
+    found = [np.unique(np.concatenate(each.pop(0)), return_counts=True) for _ in MODELS]
+    keys = np.unique(np.concatenate([*(x for x, _ in found), totals]))
+    held = np.zeros((len(keys), len(MODELS)), np.int64)
+    for g, (own, n) in enumerate(found):
+        held[np.searchsorted(keys, own), g] = n
+    np.add.at(held, (np.searchsorted(keys, totals), groups), sizes)
+    return keys, held
 
 
 def surprisals(texts: list[np.ndarray], levels: list[str], groups: np.ndarray, keys: np.ndarray, held: np.ndarray) -> np.ndarray:
@@ -164,7 +176,7 @@ def surprisals(texts: list[np.ndarray], levels: list[str], groups: np.ndarray, k
     n = len(text)
     # Third-order keys at a text's start stand for nothing and are not read below.
     back, each = pd.factorize(three.ravel())
-    place = np.minimum(np.searchsorted(keys, each), len(keys) - 1)[back]
+    found = held[np.minimum(np.searchsorted(keys, each), len(keys) - 1)]
     pair = pd.factorize(back + np.tile(text, 3) * len(each))[0]
     own = np.bincount(pair)[pair]
     inner = np.ones(n, bool)
@@ -174,7 +186,7 @@ def surprisals(texts: list[np.ndarray], levels: list[str], groups: np.ndarray, k
     out = np.empty((len(MODELS), n - len(texts)))
     for g in range(len(MODELS)):
         mine = groups == g
-        one, two, three = np.ascontiguousarray(held[:, g])[place].reshape(3, n) - own * mine[text]
+        one, two, three = np.ascontiguousarray(found[:, g])[back].reshape(3, n) - own * mine[text]
         p = (one + PRIOR * EVEN) / ((held[total, g] - sizes * mine) + PRIOR)[text]
         p[1:] = (two[1:] + PRIOR * p[1:]) / (one[:-1] + PRIOR)
         p[1:] = (three[1:] + PRIOR * p[1:]) / (two[:-1] + PRIOR)
@@ -201,6 +213,13 @@ def distributions(under: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
+def shaped(texts: list[np.ndarray], levels: list[str], groups: np.ndarray, keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """``distributions`` of the ``surprisals`` of texts that have words. About ``SLICE`` words are looked up at
+    a time, so that memory does not hold the n-grams of a portion and their surprisals at once."""
+    sizes = np.array([len(t) for t in texts])
+    return np.concatenate([distributions(surprisals(texts[c], levels[c], groups[c], keys, held), sizes[c]) for c in _slices(sizes)])
+
+
 def pool(blocks: list[tuple[float, float, float, float]]) -> list[list[float]]:
     """Pools adjacent violators among blocks (sum of y, number, first x, last x) by rising x. Pooling the
     blocks of ranges that follow each other gives what pooling all points gives."""
@@ -264,18 +283,28 @@ MEASURED = "portion long, doc_id long, unnamed boolean, lang string, words int,
 SHAPES = "doc_id long, unnamed boolean, lang string, words int, formula_grade double, level string, shape array<double>"
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts become Python strings one at a time, and go on with their portion."""
+    kinds = {"portion": pa.int64(), "doc_id": pa.int64(), "unnamed": pa.bool_(), "lang": pa.string(), "words": pa.int32(), "formula_grade": pa.float64(), "tokens": pa.binary()}
+
+    def sent(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+
     portion, room = TaskContext.get().partitionId() << 32, PORTION
     for rows in batches:
         out = []
-        for doc_id, unnamed, text, lang in zip(rows.doc_id, rows.unnamed, rows.text, rows.lang, strict=True):
-            lang = lang if isinstance(lang, str) else None
-            words, n, grade = measure(text, lang) if isinstance(text, str) else ([], 0, float("nan"))
+        for row in zip(*(rows.column(c) for c in ("doc_id", "unnamed", "text", "lang")), strict=True):
+            doc_id, unnamed, text, lang = (x.as_py() for x in row)
+            words, n, grade = measure(text, lang)
             if len(words) > room:
                 portion, room = portion + 1, PORTION
+                if out:
+                    yield sent(out)
+                    out = []
             room -= len(words)
-            out.append((portion, doc_id, unnamed, lang, n, grade, np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).tobytes()))
-        yield pd.DataFrame(out, columns=["portion", "doc_id", "unnamed", "lang", "words", "formula_grade", "tokens"])
+            out.append((portion, doc_id, unnamed, lang, n, grade if n else None, np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words)).tobytes()))
+        if out:
+            yield sent(out)
 
 
 TIE, NAME = "xxhash64(doc_id, tokens) AS tie", "coalesce(lang, char(0)) AS name"
@@ -383,7 +412,7 @@ def _shaped(measured: DataFrame, cuts: dict[str, tuple | None]) -> DataFrame:
                 keys, n = _joined(held)
                 keys, first = np.unique(keys, return_index=True)
                 n = n[first]
-                shapes = distributions(surprisals(texts, levels, groups, keys, n), np.array([len(t) for t in texts]))
+                shapes = shaped(texts, levels, groups, keys, n)
                 for c, values in (("level", levels), ("shape", shapes.reshape(len(at), -1))):
                     out = np.full(len(docs), None, dtype=object)
                     for k, v in zip(at.tolist(), values, strict=True):
@@ -458,7 +487,7 @@ def graded(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     docs = documents.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("unnamed"), "text", "lang")
-    measured = materialize(docs.mapInPandas(_measured, MEASURED), "measured")
+    measured = materialize(docs.mapInArrow(_measured, MEASURED), "measured")
     shapes = _shaped(measured, _cuts(measured))
     levels = spark.sparkContext.broadcast(_levels(shapes))
     columns = [c.split()[0] for c in GRADES.split(", ")]

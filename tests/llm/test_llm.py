@@ -1,9 +1,13 @@
 import math
 import random
 import re
+import tracemalloc
+from types import SimpleNamespace
 
 import numpy as np
 import oracle
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -552,6 +556,41 @@ def test_reading_counts_every_text(spark, monkeypatch):
     assert len({reading.OTHERS} & set(reading._cuts(spark.createDataFrame([(0, k, False, f"m{k % 20}", 3, float(k % 7), b"") for k in range(400)], reading.MEASURED)))) == 0
 
 
+def test_reading_memory_of_a_portion(monkeypatch):
+    # Each of an executor's workers holds a portion. Bytes a word: 276 and 275 when all of it was looked up at once.
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(1, 5000, n).astype(np.uint64) for n in rng.integers(1, 800, 650)]
+    sizes, levels, groups = np.array([len(t) for t in texts]), [["en", "de"][k % 2] for k in range(650)], rng.integers(0, 3, 650)
+
+    def peak(make):
+        tracemalloc.start()
+        try:
+            return make(), tracemalloc.get_traced_memory()[1] / sizes.sum()
+        finally:
+            tracemalloc.stop()
+
+    (keys, held), most = peak(lambda: reading.counts(texts, levels, groups))
+    assert most < 200 and (np.diff(keys.astype(object)) > 0).all()
+    for k, level in enumerate(["en", "de"]):
+        total = held[np.searchsorted(keys, reading._totals([level])[0])]
+        assert total.tolist() == [sizes[k::2][groups[k::2] == g].sum() for g in range(3)]
+    whole, most = peak(lambda: reading.shaped(texts, levels, groups, keys, held))
+    assert most < 150 and np.array_equal(whole, reading.distributions(reading.surprisals(texts, levels, groups, keys, held), sizes))
+    monkeypatch.setattr(reading, "SLICE", 1)
+    assert np.array_equal(reading.shaped(texts[:9], levels[:9], groups[:9], keys, held), whole[:9])
+
+
+def test_reading_sends_a_portion_at_a_time(monkeypatch):
+    monkeypatch.setattr(reading, "PORTION", 100)
+    monkeypatch.setattr(reading, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 2)))
+    rows = pd.DataFrame({"doc_id": range(50), "unnamed": False, "text": ["The cat sat. " * (k % 9) for k in range(49)] + ["A word. " * 300], "lang": "en"})
+    sent = [x.to_pandas() for x in reading._measured(iter([pa.RecordBatch.from_pandas(x, preserve_index=False) for x in (rows[:20], rows[20:20], rows[20:])]))]
+    assert all(x.portion.nunique() == 1 and (len(x) == 1 or x.tokens.map(len).sum() <= 800) for x in sent)
+    got = pd.concat(sent)
+    assert got.doc_id.tolist() == list(range(50)) and got.portion.is_monotonic_increasing and got.portion.iloc[0] == 2 << 32
+    assert got.words.tolist() == [reading.measure(t, "en")[1] for t in rows.text]
+
+
 def test_pooled_ranges_equal_the_whole():
     rng = np.random.default_rng(2)
     x = np.sort(np.round(rng.random(500), 2))
