@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import Any
 
@@ -33,12 +33,13 @@ def _one_of(column: Column, kind: T.DataType, values: list[Any]) -> Column:
     return inside | column.isNull() if None in values else inside
 
 
-def predicate(df: DataFrame, field: str, want: Any) -> Column:
+def predicate(df: DataFrame, field: str, want: Any, get: Callable[[str], Column] | None = None) -> Column:
     """One field of a filter: a value (any element of a list column may equal it), a list of values, or a
     mapping of ``in``, ``exists``, ``gte``, ``gt``, ``lte``, ``lt``. Ranges hold for numbers only; a field
-    the table does not have is null everywhere. Null equals null; an empty list matches nothing."""
+    the table does not have is null everywhere. Null equals null; an empty list matches nothing. ``get`` gives
+    the column of a field, where that is not one of ``df`` itself."""
     names = {f.name: f.dataType for f in df.schema.fields}
-    column, kind = (F.col(f"`{field}`"), names[field]) if field in names else (F.lit(None).cast("string"), T.StringType())
+    column, kind = (get(field) if get else F.col(f"`{field}`"), names[field]) if field in names else (F.lit(None).cast("string"), T.StringType())
     if isinstance(want, Mapping):
         parts = []
         for op, v in want.items():
@@ -56,9 +57,9 @@ def predicate(df: DataFrame, field: str, want: Any) -> Column:
     return _one_of(column, kind, list(want) if isinstance(want, (list, tuple, set)) else [want])
 
 
-def matches(df: DataFrame, where: Mapping[str, Any] | None) -> Column:
+def matches(df: DataFrame, where: Mapping[str, Any] | None, get: Callable[[str], Column] | None = None) -> Column:
     """All fields of a filter together; no filter and an empty one match every row."""
-    return reduce(lambda a, b: a & b, [predicate(df, f, w) for f, w in (where or {}).items()], F.lit(True))
+    return reduce(lambda a, b: a & b, [predicate(df, f, w, get) for f, w in (where or {}).items()], F.lit(True))
 
 
 def toggle_facet(where: Mapping[str, Any], field: str, value: str) -> dict[str, Any]:

@@ -220,4 +220,4 @@ class Searcher:
             some = [x for p in parts if (x := getattr(p, part)) is not None]
             return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), some) if some else None
 
-        return Index(*[joined(c) for c in ("chunks", "postings", "dictionary", "lengths", "stats", "content", "vectors")], parts[0].analyzer)
+        return Index(*[joined(c) for c in ("chunks", "postings", "dictionary", "lengths", "stats", "content", "vectors")], parts[0].analyzer, joined("blocks") if len({p.blocks and p.blocks.schema.json() for p in parts}) == 1 else None)

@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from lexloom.functions import highlight, scoring, text
 from lexloom.operators import chunking, evaluate, runner, search, synthetic, vectors
 from lexloom.operators.filters import matches
-from lexloom.operators.index import Index, build_index, index_faults, index_of_postings, number_chunks, number_documents, read_index, read_index_v1, unfielded_postings, write_index, write_index_v1
+from lexloom.operators.index import Index, build_index, index_faults, index_of_postings, number_chunks, number_documents, read_index, read_index_v1, unfielded_blocks, unfielded_postings, write_index, write_index_v1
 from lexloom.operators.search import Options
 from lexloom.plans import config
-from lexloom.runtime import delete, materialize, pinned, scoped, shared_dir, table
+from lexloom.runtime import delete, materialize, passing, pinned, release, scoped, shared_dir, table
 from lexloom.sources import documents as sources
 from lexloom.sources import store
 
