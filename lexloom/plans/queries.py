@@ -162,7 +162,7 @@ def expand_typos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25f_exact(spark: SparkSession, d: str) -> DataFrame:
-    got = search.lexical(built(spark, d), asked(spark, d), Options(max_expansions=0))
+    got = search.lexical_scores(built(spark, d), asked(spark, d), Options(max_expansions=0))
     return got.select("query_id", "corpus", "chunk_ix", _num("lexical_score").alias("score"))
 
 
@@ -178,7 +178,7 @@ def bm25f_matched_terms(spark: SparkSession, d: str) -> DataFrame:
 
 def bm25f_stored(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "search_query").select("query_id", F.col("query_text").alias("text"), "corpus")
-    got = search.lexical(stored(spark, d), q, Options(max_expansions=0))
+    got = search.lexical_scores(stored(spark, d), q, Options(max_expansions=0))
     return got.select("query_id", "corpus", "chunk_ix", _num("lexical_score").alias("score"))
 
 
