@@ -187,7 +187,7 @@ def _page(df: DataFrame) -> DataFrame:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return _page(search.search(built(spark, d), asked(spark, d), Options(max_expansions=0)))
+    return _page(search.search(built(spark, d), asked(spark, d), Options(max_expansions=0), details=False))
 
 
 def _searched(spark: SparkSession, d: str, **options) -> DataFrame:
