@@ -191,7 +191,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _searched(spark: SparkSession, d: str, **options) -> DataFrame:
-    return _page(search.search(built(spark, d), asked(spark, d), Options(max_expansions=0, **options)))
+    return _page(search.search(built(spark, d), asked(spark, d), Options(max_expansions=0, **options), details=False))
 
 
 def group_expanded(spark: SparkSession, d: str) -> DataFrame:
