@@ -462,9 +462,8 @@ def v1_v2_same_ranking(spark: SparkSession, d: str) -> DataFrame:
     cut = materialize(chunk_table(spark, d).withColumns({"title": F.lit(None).cast("string"), "heading": F.lit(None).cast("string")}), "bare")
     q = asked(spark, d).withColumn("text", F.concat("text", F.lit(" ")))
     q = q.withColumn("text", F.array_join(F.array_distinct(text.tokenize(F.col("text"))), " ")).withColumn("text", F.concat("text", F.lit(" ")))
-    two = search.lexical(build_index(cut, text.Analyzer(folding=False)), q, Options(max_expansions=0)).select("query_id", "corpus", "chunk_ix", _num("lexical_score").alias("score_v2"))
-    one = search.unfielded(*unfielded_postings(cut), q).select("query_id", "corpus", "chunk_ix", _num("score").alias("score_v1"))
-    return one.join(two, ["query_id", "corpus", "chunk_ix"], "full")
+    got = search.both_scores(cut, text.Analyzer(folding=False), q)
+    return got.select("query_id", "corpus", "chunk_ix", _num("score_v1").alias("score_v1"), _num("score_v2").alias("score_v2"))
 
 
 def _config(spark: SparkSession, d: str) -> dict[str, config.Corpus]:
