@@ -167,7 +167,7 @@ def bm25f_exact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bm25f_expanded(spark: SparkSession, d: str) -> DataFrame:
-    got = search.lexical(built(spark, d), asked(spark, d))
+    got = search.lexical_scores(built(spark, d), asked(spark, d))
     return got.select("query_id", "corpus", "chunk_ix", _num("lexical_score").alias("score"))
 
 
