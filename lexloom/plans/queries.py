@@ -195,7 +195,7 @@ def _searched(spark: SparkSession, d: str, **options) -> DataFrame:
 
 
 def group_expanded(spark: SparkSession, d: str) -> DataFrame:
-    got = search.search(built(spark, d), asked(spark, d), Options(max_expansions=0, group_by="expanded"))
+    got = search.search(built(spark, d), asked(spark, d), Options(max_expansions=0, group_by="expanded"), details=False)
     return got.select("query_id", "rank", "corpus", "document_id", "matches", F.concat_ws(" ", F.transform("chunks", lambda c: c["id"])).alias("chunk_ids"))
 
 
