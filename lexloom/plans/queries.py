@@ -297,7 +297,7 @@ def hybrid_search(spark: SparkSession, d: str, mode: str = "hybrid") -> DataFram
     q = asked(spark, d)
     v = vectors.embed_texts(q.select(F.col("query_id").cast("string").alias("key"), "text"), vectors.hashing_provider())
     q = q.join(v.select(F.col("key").cast("long").alias("query_id"), F.col("embedding").alias("query_vector")), "query_id")
-    return _page(search.search(ix, q, Options(mode=mode, semantic_weight=0.4)))
+    return _page(search.search(ix, q, Options(mode=mode, semantic_weight=0.4), details=False))
 
 
 def embed_hash_provider(spark: SparkSession, d: str) -> DataFrame:
